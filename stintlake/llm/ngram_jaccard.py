@@ -215,11 +215,12 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     return found.unionByName(verified(pairs, sets, percent))
 
 
-def classes(docs: DataFrame, words: int = 5, percent: int = 80, extra: int = 10) -> DataFrame:
+def classes(docs: DataFrame, words: int = 5, percent: int = 80, extra: int = 10, with_key: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row of ``doc_id, text``.
 
     percent: the least Jaccard similarity of a link, in hundredths. extra: the first order's prefixes are longer by one
-    token in so many, and links must share as many of them.
+    token in so many, and links must share as many of them. with_key: also ``class`` (a number of the class, null without
+    shingles) and ``text_key`` (the text's xxhash64).
     """
     spark = docs.sparkSession
     profiles = written(profile(docs, words, percent, extra), "profiles")
@@ -232,8 +233,10 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, extra: int = 10)
     roots = components(written(links(sets, percent), "links"))
     ids = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_ids = ids.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    class_of = ids.join(least_ids, "root").select("node", "component_id")
-    return profiles.join(class_of, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    class_of = ids.join(least_ids, "root").select("node", "root", "component_id")
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    more = [F.col("root").alias("class"), "text_key"] if with_key else []
+    return profiles.join(class_of, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), own, *more)
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from stintlake.llm import byte_bpe, hamming_search, ngram_jaccard, packing, rp_forest, sstable
+from stintlake.llm import byte_bpe, hamming_search, ngram_jaccard, packing, quality, rp_forest, sstable, toxicity
 
 QUERIES = {
     "op1_hamming_search": hamming_search.op1_hamming_search,
+    "op2_quality_ftrl": quality.op2_quality_ftrl,
     "op4_rp_forest": rp_forest.op4_rp_forest,
     "op5_sstable": sstable.op5_sstable,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_ngram_jaccard": ngram_jaccard.op8_ngram_jaccard,
     "op9_harmonic_packing": packing.op9_harmonic_packing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op1_hamming_search": hamming_search.ORACLE,
