@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from stintlake.llm import byte_bpe, hamming_search, ngram_jaccard, packing, quality, rp_forest, sstable, toxicity
+from stintlake.llm import byte_bpe, hamming_search, license_scan, ngram_jaccard, packing, quality, rp_forest, sstable, toxicity, url_filter
 
 QUERIES = {
     "op1_hamming_search": hamming_search.op1_hamming_search,
     "op2_quality_ftrl": quality.op2_quality_ftrl,
+    "op3_url_filter": url_filter.op3_url_filter,
     "op4_rp_forest": rp_forest.op4_rp_forest,
     "op5_sstable": sstable.op5_sstable,
+    "op6_license_scan": license_scan.op6_license_scan,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_ngram_jaccard": ngram_jaccard.op8_ngram_jaccard,
     "op9_harmonic_packing": packing.op9_harmonic_packing,
@@ -16,4 +18,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_hamming_search": hamming_search.ORACLE,
+    "op3_url_filter": url_filter.ORACLE,
+    "op6_license_scan": license_scan.ORACLE,
 }
