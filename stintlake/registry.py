@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stintlake.plans import season, timeline
+from stintlake.plans import comparisons, models, season, timeline
 
-MODULES = (timeline, season)
+MODULES = (timeline, season, comparisons, models)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
