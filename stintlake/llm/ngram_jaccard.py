@@ -6,7 +6,8 @@ prefix token under every one of several orders:
 
 1. The order of the token hashes, with a longer prefix of which linked sets must share several tokens. Documents whose
    prefix tokens hardly occur elsewhere cannot link with anything and leave here; those are nearly all documents that
-   have no copies. Only the hashes of the prefixes move.
+   have no copies. Only the hashes of the prefixes move. What stays is counted once more over whole sets, of whose
+   tokens as many as an overlap needs must occur elsewhere.
 2. For the rest, rare tokens first, ties by hash: candidates share a prefix token, at positions that leave room for the
    overlap needed.
 3. Rare tokens first, ties by another hash: candidates must share a prefix token again.
@@ -63,38 +64,49 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(mixed(out))
 
 
+def node_of(tokens: np.ndarray) -> int | None:
+    """The number of a token set, None for the empty one."""
+    return xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None
+
+
 def needed(n, percent: int):
     """The least overlap of a set of n tokens with any that it links with (ints or arrays)."""
     return -(-percent * n // 100)
 
 
-def shared_needed(n, percent: int, extra: int):
-    """How many tokens of its long prefix a set must share at least: that of the smallest set it can link with."""
-    return np.maximum(1, needed(n, percent) // extra)
-
-
 def _binary(arrays) -> pa.Array:
     return pa.array([a.tobytes() for a in arrays], pa.binary())
 
 
-def profile(docs: DataFrame, words: int, percent: int, extra: int) -> DataFrame:
-    """``doc_id, text_key, n, node, prefix`` of each document; prefix: its smallest hashes, packed."""
+def profile(docs: DataFrame, words: int) -> DataFrame:
+    """``doc_id, text_key, n, node`` of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = [shingles(text, words) for text in part.column(2).to_pylist()]
-                nodes = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
-                heads = [s[: len(s) - needed(len(s), percent) + max(1, len(s) // extra)] if len(s) else s for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), _binary(heads)], names=["doc_id", "text_key", "n", "node", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(node_of, sets), pa.int64())], names=["doc_id", "text_key", "n", "node"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, n long, node long, prefix binary")
+    return rows.mapInArrow(run, "doc_id long, text_key long, n long, node long")
+
+
+def prefixes(docs: DataFrame, words: int, percent: int, extra: int) -> DataFrame:
+    """``node, tokens`` of each document with shingles; tokens: its smallest hashes, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                sets = [s for text in batch.column(0).slice(at, 2048).to_pylist() if len(s := shingles(text, words))]
+                heads = [s[: len(s) - needed(len(s), percent) + max(1, len(s) // extra)] for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(map(node_of, sets), pa.int64()), _binary(heads)], names=["node", "tokens"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "node long, tokens binary")
 
 
-def shared_counts(profiles: DataFrame, buckets: int) -> DataFrame:
-    """``node, shared``: at least how many of a node's prefix tokens other nodes' prefixes hold too.
+def shared_counts(sets: DataFrame, buckets: int) -> DataFrame:
+    """``node, shared``: how many of a node's tokens (or more) other nodes hold too, from ``node, tokens`` (packed).
 
     Tokens are dealt to buckets in packed form. A batch sends each token of several of its nodes once only and credits
     those nodes itself, so a token that all documents hold takes a row's worth from each batch.
@@ -122,7 +134,7 @@ def shared_counts(profiles: DataFrame, buckets: int) -> DataFrame:
         shared = np.bincount(back, np.concatenate([np.ones(many.sum()), counts]), len(node)).astype(np.int64)
         return pa.table({"node": node, "shared": shared})
 
-    dealt = profiles.filter("n > 0").select("node", "prefix").mapInArrow(deal, "bucket int, tokens binary, nodes binary, known binary, credit binary, counts binary")
+    dealt = sets.select("node", "tokens").mapInArrow(deal, "bucket int, tokens binary, nodes binary, known binary, credit binary, counts binary")
     return dealt.groupBy("bucket").applyInArrow(count, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
 
 
@@ -146,19 +158,38 @@ def split(at: np.ndarray, buckets: int, values: np.ndarray) -> list[np.ndarray]:
     return np.split(values[order], np.searchsorted(at[order], np.arange(1, buckets, dtype=at.dtype)))
 
 
-def token_sets(docs: DataFrame, picked: DataFrame, words: int) -> DataFrame:
-    """``node, n, tokens`` of the nodes in picked (node, n, doc_id, text_key), from the texts again."""
+def token_sets(docs: DataFrame, picked: DataFrame, words: int, broadcast_rows: int) -> DataFrame:
+    """``node, n, tokens`` (packed) of the nodes in picked (node, n, doc_id, text_key), from the texts again.
+
+    Up to broadcast_rows picked rows (of 40 bytes or so) go to all tasks, so that no text moves; more are joined by a
+    shuffle of the texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingles(text, words).view(np.int64) for text in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _binary([shingles(text, words) for text in part.column(2).to_pylist()])], names=["node", "n", "tokens"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("d_id"), F.xxhash64("text").alias("d_key"), F.col("text").cast("string"))
-    hit = d.join(picked, F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_key") == F.col("text_key"))).select("node", "n", "text")
-    return hit.mapInArrow(run, "node long, n long, tokens array<long>").dropDuplicates(["node"])
+    count = picked.count()
+    side = F.broadcast(picked) if count <= broadcast_rows else picked
+    hit = d.join(side, F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_key") == F.col("text_key"))).select("node", "n", "text")
+    sets = written(hit.mapInArrow(run, "node long, n long, tokens binary"), "sets")
+    return sets if sets.count() == count else sets.dropDuplicates(["node"])  # whole rows can repeat
+
+
+def as_arrays(sets: DataFrame) -> DataFrame:
+    """The packed tokens as arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                arrays = [np.frombuffer(b, np.int64) for b in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(arrays, pa.list_(pa.int64()))], names=["node", "n", "tokens"])
+
+    return sets.select("node", "n", "tokens").mapInArrow(run, "node long, n long, tokens array<long>")
 
 
 def orders(sets: DataFrame, percent: int) -> DataFrame:
@@ -215,21 +246,23 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     return found.unionByName(verified(pairs, sets, percent))
 
 
-def classes(docs: DataFrame, words: int = 5, percent: int = 80, extra: int = 10, with_key: bool = False) -> DataFrame:
+def classes(docs: DataFrame, words: int = 5, percent: int = 80, extra: int = 10, with_key: bool = False, broadcast_rows: int = 250_000) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row of ``doc_id, text``.
 
     percent: the least Jaccard similarity of a link, in hundredths. extra: the first order's prefixes are longer by one
     token in so many, and links must share as many of them. with_key: also ``class`` (a number of the class, null without
     shingles) and ``text_key`` (the text's xxhash64).
     """
-    spark = docs.sparkSession
-    profiles = written(profile(docs, words, percent, extra), "profiles")
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    profiles = written(profile(docs, words), "profiles")
     nodes = profiles.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("least_id"))
     nodes = written(nodes.select("node", "n", "least_id", "rep.doc_id", "rep.text_key"), "nodes")
-    least = F.greatest(F.floor(F.ceil(F.col("n") * percent / F.lit(100.0)) / extra), F.lit(1))
-    picked = nodes.join(shared_counts(profiles, buckets), "node").filter(F.col("shared") >= least).select("node", "n", "doc_id", "text_key")
-    sets = written(token_sets(docs, written(picked, "picked"), words), "sets")
+    least = (F.col("n") * percent + 99 - (F.col("n") * percent + 99) % 100) / 100  # of the tokens of any set that it links with
+    shared = shared_counts(prefixes(docs, words, percent, extra), buckets)
+    picked = nodes.join(shared, "node").filter(F.col("shared") >= F.greatest(F.floor(least / extra), F.lit(1))).select("node", "n", "doc_id", "text_key")
+    whole = token_sets(docs, written(picked, "picked"), words, broadcast_rows)
+    near = whole.join(shared_counts(whole, buckets), "node").filter(F.col("shared") >= least)
+    sets = written(as_arrays(near), "sets")
     roots = components(written(links(sets, percent), "links"))
     ids = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_ids = ids.groupBy("root").agg(F.min("least_id").alias("component_id"))
