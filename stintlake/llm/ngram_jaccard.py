@@ -228,7 +228,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of distinct sets (node, n, tokens) whose components are those of all similar pairs."""
     known = written(orders(sets, percent), "orders")
-    post = written(known.select("node", "n", "second", F.col("at"), F.posexplode("first").alias("i", "token")).select("token", "node", "n", "second", (F.col("at") + F.col("i") + 1).alias("pos")), "prefixes")
+    post = written(known.select("node", "n", F.col("at"), F.posexplode("first").alias("i", "token")).select("token", "node", "n", (F.col("at") + F.col("i") + 1).alias("pos")), "prefixes")
     # every prefix token pairs its nodes with one of them
     pivots = post.groupBy("token").agg(F.min("node").alias("b"), F.count("*").alias("m")).filter("m > 1").drop("m")
     stars = post.select("token", "node").join(pivots, "token").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
@@ -242,7 +242,9 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     mixed_tokens = written(post.join(main, "token"), "across")
     x, y = mixed_tokens.filter("root <> main").alias("x"), mixed_tokens.alias("y")
     across = (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    pairs = x.join(y, across & room(percent) & F.arrays_overlap("x.second", "y.second")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    pairs = x.join(y, across & room(percent)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    one, two = (known.select(F.col("node").alias(c), F.col("second").alias(f"s_{c}")) for c in "ab")
+    pairs = pairs.join(one, "a").join(two, "b").filter(F.arrays_overlap("s_a", "s_b")).select("a", "b")
     return found.unionByName(verified(pairs, sets, percent))
 
 
