@@ -211,10 +211,12 @@ def orders(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def room(percent: int) -> Column:
-    """Whether the sizes, and the positions of the shared token in both prefixes, leave room for the overlap needed."""
-    most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + F.least("x.pos", "y.pos") - 1
-    longest = (F.least("x.n", "y.n") * 100) >= F.greatest("x.n", "y.n") * percent
-    return longest & (F.least(most + 1, F.least("x.n", "y.n")) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
+    """Whether the places of the shared token in both prefixes leave room for the overlap that the sizes need.
+
+    ``i`` is its place among a node's shared tokens, of which ``left`` come after it. Tokens of one node only don't count.
+    """
+    most = F.least("x.left", "y.left") + F.least("x.i", "y.i")
+    return most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -228,9 +230,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of distinct sets (node, n, tokens) whose components are those of all similar pairs."""
     known = written(orders(sets, percent), "orders")
-    post = written(known.select("node", "n", F.col("at"), F.posexplode("first").alias("i", "token")).select("token", "node", "n", (F.col("at") + F.col("i") + 1).alias("pos")), "prefixes")
-    # every prefix token pairs its nodes with one of them
-    pivots = post.groupBy("token").agg(F.min("node").alias("b"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    post = known.select("node", "n", "at", F.posexplode("first").alias("i", "token")).withColumn("i", F.col("i") + 1)
+    post = written(post.select("token", "node", "n", "at", "i", (F.col("n") - F.col("at") - F.col("i")).alias("left")), "prefixes")
+    # every prefix token pairs its nodes with the one that has fewest tokens of its own: the source of copies, if it is there
+    pivots = post.groupBy("token").agg(F.min(F.struct("at", "node"))["node"].alias("b"), F.count("*").alias("m")).filter("m > 1").drop("m")
     stars = post.select("token", "node").join(pivots, "token").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
     found = written(verified(stars, sets, percent), "links")
     # then pairs across the classes found so far; of each token, all but the nodes of its largest class look for others
