@@ -60,22 +60,24 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), SEPARATORS, " "))
 
 
-def scan(docs: DataFrame, sentences: DataFrame, rules: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, sentences: DataFrame, rules: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
     """``doc_id, license, sentence, n_sentences``: each match of a rule, and at which sentence of the text it begins.
 
     docs: doc_id, text; sentences: sid, text (one sentence); rules: license, sids (array). ``sentence`` counts from 0 over
-    the split text, empty sentences included.
+    the split text, empty sentences included. Rule tables of up to broadcast_rows rows go to all tasks, larger ones are
+    joined by a shuffle.
     """
     known = sentences.select("sid", normalised(F.col("text")).alias("norm")).filter("norm <> ''").select(F.xxhash64("norm").alias("key"), "norm", "sid")
-    wanted = rules.filter(F.size("sids") > 0).select("license", "sids", F.size("sids").alias("n"), F.element_at("sids", 1).alias("sid"))
-    longest = known.agg(F.max(F.length("norm"))).first()[0] or 0
-    each = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.posexplode(sentences_of("text")).alias("pos", "raw"))
-    each = each.select("_row", "doc_id", "pos", normalised(F.col("raw")).alias("norm")).filter((F.col("norm") != "") & (F.length("norm") <= longest))
-    found = each.withColumn("key", F.xxhash64("norm")).join(known, ["key", "norm"]).select("_row", "doc_id", "pos", "sid")
-    lines = found.groupBy("_row", "doc_id").agg(F.collect_set(F.struct("pos", "sid")).alias("held"))
-    starts = lines.select("_row", "doc_id", "held", F.explode("held").alias("at")).select("_row", "doc_id", "held", "at.pos", "at.sid").join(wanted, "sid")
-    needed = F.transform("sids", lambda sid, i: F.struct((F.col("pos") + i).alias("pos"), sid.alias("sid")))
-    match = starts.filter(F.size(F.array_except(needed, "held")) == 0)
+    wanted = rules.filter(F.size("sids") > 0).select("license", F.concat_ws("\n", "sids").alias("rule"), F.size("sids").alias("n"), F.posexplode("sids").alias("i", "sid"))
+    size = known.agg(F.count("*").alias("rows"), F.coalesce(F.max(F.length("norm")), F.lit(0)).alias("longest")).first()
+    small = F.broadcast if size["rows"] + wanted.count() <= broadcast_rows else lambda df: df
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))  # before the texts are taken apart
+    each = rows.select("_row", "doc_id", F.posexplode(sentences_of("text")).alias("pos", "raw"))
+    each = each.select("_row", "doc_id", "pos", normalised(F.col("raw")).alias("norm")).filter((F.col("norm") != "") & (F.length("norm") <= size["longest"]))
+    found = each.withColumn("key", F.xxhash64("norm")).join(small(known), ["key", "norm"]).select("_row", "doc_id", "pos", "sid")
+    # each sentence found says where the rules that hold it would begin; a rule fits where all its places say the same
+    begins = found.join(small(wanted), "sid").select("_row", "doc_id", (F.col("pos") - F.col("i")).alias("pos"), "license", "rule", "n", "i")
+    match = begins.groupBy("_row", "doc_id", "pos", "license", "rule", "n").agg(F.countDistinct("i").alias("held")).filter("held = n")
     best = match.groupBy("_row", "doc_id", "pos").agg(F.max(F.struct("n", "license")).alias("best"))
     return best.select("doc_id", F.col("best.license").alias("license"), F.col("pos").alias("sentence"), F.col("best.n").alias("n_sentences"))
 
