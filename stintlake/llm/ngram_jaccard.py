@@ -130,12 +130,24 @@ def shared_counts(sets: DataFrame, buckets: int) -> DataFrame:
         tokens, nodes, many = pairs_of(tokens, nodes)
         many |= np.isin(tokens, known)
         all_nodes = np.concatenate([nodes[many], credit])
-        node, back = np.unique(all_nodes, return_inverse=True)
-        shared = np.bincount(back, np.concatenate([np.ones(many.sum()), counts]), len(node)).astype(np.int64)
+        node, shared = summed(all_nodes, np.concatenate([np.ones(many.sum(), np.int64), counts]))
+        part = node.view(U64) % U64(buckets)
+        columns = [_binary(split(part, buckets, v)) for v in (node, shared)]
+        return pa.table([pa.array(np.arange(buckets), pa.int32()), *columns], names=["part", "nodes", "counts"])
+
+    def add(group: pa.Table) -> pa.Table:
+        node, shared = summed(*(np.frombuffer(b"".join(group[c].to_pylist()), np.int64) for c in ("nodes", "counts")))
         return pa.table({"node": node, "shared": shared})
 
     dealt = sets.select("node", "tokens").mapInArrow(deal, "bucket int, tokens binary, nodes binary, known binary, credit binary, counts binary")
-    return dealt.groupBy("bucket").applyInArrow(count, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+    counted = dealt.groupBy("bucket").applyInArrow(count, "part int, nodes binary, counts binary")
+    return counted.groupBy("part").applyInArrow(add, "node long, shared long")
+
+
+def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sums of their values."""
+    found, back = np.unique(keys, return_inverse=True)
+    return found, np.bincount(back, values, len(found)).astype(np.int64)
 
 
 def pairs_of(tokens: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,11 +223,12 @@ def orders(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def room(percent: int) -> Column:
-    """Whether the places of the shared token in both prefixes leave room for the overlap that the sizes need.
+    """Whether the overlap that the sizes need fits after the shared token, if it is the first one that both hold.
 
-    ``i`` is its place among a node's shared tokens, of which ``left`` come after it. Tokens of one node only don't count.
+    ``left`` counts a node's tokens after it. Before their first common token two sets have none in common, so a pair that
+    links passes there; at its later common tokens it need not be met again.
     """
-    most = F.least("x.left", "y.left") + F.least("x.i", "y.i")
+    most = F.least("x.left", "y.left") + 1
     return most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
 
 
@@ -230,8 +243,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of distinct sets (node, n, tokens) whose components are those of all similar pairs."""
     known = written(orders(sets, percent), "orders")
-    post = known.select("node", "n", "at", F.posexplode("first").alias("i", "token")).withColumn("i", F.col("i") + 1)
-    post = written(post.select("token", "node", "n", "at", "i", (F.col("n") - F.col("at") - F.col("i")).alias("left")), "prefixes")
+    post = known.select("node", "n", "at", F.posexplode("first").alias("i", "token"))
+    post = written(post.select("token", "node", "n", "at", (F.col("n") - F.col("at") - F.col("i") - 1).alias("left")), "prefixes")
     # every prefix token pairs its nodes with the one that has fewest tokens of its own: the source of copies, if it is there
     pivots = post.groupBy("token").agg(F.min(F.struct("at", "node"))["node"].alias("b"), F.count("*").alias("m")).filter("m > 1").drop("m")
     stars = post.select("token", "node").join(pivots, "token").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
