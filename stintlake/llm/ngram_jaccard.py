@@ -112,6 +112,8 @@ def shared_counts(sets: DataFrame, buckets: int) -> DataFrame:
     those nodes itself, so a token that all documents hold takes a row's worth from each batch.
     """
 
+    parts = max(1, buckets // 8)  # counts are far fewer than tokens
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             heads = [np.frombuffer(b, U64) for b in batch.column(1).to_pylist()]
@@ -131,9 +133,9 @@ def shared_counts(sets: DataFrame, buckets: int) -> DataFrame:
         many |= np.isin(tokens, known)
         all_nodes = np.concatenate([nodes[many], credit])
         node, shared = summed(all_nodes, np.concatenate([np.ones(many.sum(), np.int64), counts]))
-        part = node.view(U64) % U64(buckets)
-        columns = [_binary(split(part, buckets, v)) for v in (node, shared)]
-        return pa.table([pa.array(np.arange(buckets), pa.int32()), *columns], names=["part", "nodes", "counts"])
+        part = node.view(U64) % U64(parts)
+        columns = [_binary(split(part, parts, v)) for v in (node, shared)]
+        return pa.table([pa.array(np.arange(parts), pa.int32()), *columns], names=["part", "nodes", "counts"])
 
     def add(group: pa.Table) -> pa.Table:
         node, shared = summed(*(np.frombuffer(b"".join(group[c].to_pylist()), np.int64) for c in ("nodes", "counts")))
@@ -271,7 +273,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, extra: int = 10,
     token in so many, and links must share as many of them. with_key: also ``class`` (a number of the class, null without
     shingles) and ``text_key`` (the text's xxhash64).
     """
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     profiles = written(profile(docs, words), "profiles")
     nodes = profiles.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("least_id"))
     nodes = written(nodes.select("node", "n", "least_id", "rep.doc_id", "rep.text_key"), "nodes")
