@@ -20,7 +20,27 @@ def convolved(parts: Column) -> Column:
     return F.aggregate(parts, zero, add)
 
 
-def poisson_pmf(mean: Column, top: int = 30) -> Column:
-    """Poisson chances of 0 to top."""
-    logs = F.array(*[F.lit(math.lgamma(k + 1)) for k in range(top + 1)])
-    return F.transform(F.sequence(F.lit(0), F.lit(top)), lambda k: F.exp(k * F.ln(mean) - mean - F.get(logs, k)))
+def poisson_chance(k: Column, mean: Column) -> Column:
+    """The Poisson chance of k, for any k and mean > 0; from 16 on by Stirling's series about k, so that no large terms cancel."""
+    small = F.exp(k * F.ln(mean) - mean - F.get(F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)]), k))
+    x = k.cast("double")
+    rest = 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return F.when(k < 16, small).otherwise(F.exp(x * F.ln(mean / x) + (x - mean) - rest) / F.sqrt(2 * math.pi * x))
+
+
+def poisson_duel(a: Column, b: Column) -> Column:
+    """``win, tie``: the chances that a Poisson count of mean a is above or equal to one of mean b.
+
+    One pass over all counts that either reaches: from 12 roots of its mean below the smaller mean to 12 above the larger,
+    and 30 more, so what lies outside is below 1e-30 at any mean.
+    """
+    small, large = F.least(a, b), F.greatest(a, b)
+    low = F.greatest(F.floor(small - 12 * F.sqrt(small) - 30), F.lit(0)).cast("int")
+    high = F.ceil(large + 12 * F.sqrt(large) + 30).cast("int")
+    zero = F.lit(0.0)
+
+    def step(s: Column, p: Column) -> Column:
+        return F.struct((s["below"] + p["b"]).alias("below"), (s["win"] + p["a"] * s["below"]).alias("win"), (s["tie"] + p["a"] * p["b"]).alias("tie"))
+
+    chances = F.transform(F.sequence(low, high), lambda k: F.struct(poisson_chance(k, a).alias("a"), poisson_chance(k, b).alias("b")))
+    return F.aggregate(chances, F.struct(zero.alias("below"), zero.alias("win"), zero.alias("tie")), step)

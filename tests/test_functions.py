@@ -66,6 +66,17 @@ def test_networks(spark):
     assert np.allclose([ranks[i] for i in range(6)], v)
 
 
+def test_poisson_duel_at_any_mean(spark):
+    from stintlake.plans.distributions import poisson_duel
+
+    pairs = [(0.5, 0.5), (3.0, 5.0), (15.5, 16.5), (27.0, 20.0), (112.0, 105.0), (148.0, 148.0), (0.5, 400.0), (5000.0, 5050.0)]
+    df = spark.createDataFrame(pairs, "a double, b double").select("a", "b", poisson_duel(F.col("a"), F.col("b")).alias("d"))
+    for a, b, d in df.collect():
+        pa, pb = ([math.exp(k * math.log(m) - m - math.lgamma(k + 1)) for k in range(7000)] for m in (a, b))
+        below = np.concatenate([[0], np.cumsum(pb)[:-1]])
+        assert abs(d["win"] - np.dot(pa, below)) < 1e-9 and abs(d["tie"] - np.dot(pa, pb)) < 1e-9
+
+
 def test_texts_and_cells(spark):
     cells = ["—", "", "+2", "-19", "27:46", "3 / 1 33%", "1/0", "5/ 2", "1 — 0", "11—4", "44 / 29 / 4", "33 40%", "07:33 44%", "0.14", "free text"]
     got = [tuple(r["c"]) for r in spark.createDataFrame([(c,) for c in cells], "s string").select(text.cell(F.col("s")).alias("c")).collect()]
