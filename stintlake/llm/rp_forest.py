@@ -3,7 +3,7 @@
 The trees are fitted on a bounded sample, every row is put into its leaf of every tree, and a query walks all trees at
 once: a single queue holds the open branches of all trees by their distance from the splitting planes, and the nearest
 ``search_leaves`` leaves are taken whichever tree they belong to. The members of those leaves are then reranked by exact
-cosine in double precision.
+cosine, rounded to 12 decimals so that multiples of one vector tie.
 
 Defined results: rows whose id is null, or whose vector is null, empty, zero or holds null or non-finite components, take
 no part, nor do vectors of another length than the commonest. Equal vectors are searched once and share their score. Rows
@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from stintlake.llm.common import best_per_query, block_pairs, common_length, ranked_ids, smallest_ids, table, usable_vector
 from stintlake.session import written
 
+#: Decimals of a score; vectors whose scores agree in these tie.
+DIGITS = 12
+
 
 def build_tree(x: np.ndarray, leaf_rows: int, rng: np.random.Generator) -> dict:
     """Planes, thresholds and children (negative: leaf -1 - n) of one tree over the rows of x."""
@@ -92,6 +95,12 @@ def unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def cosine(c: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The cosine of each row of c and q: summed with more digits than are kept, so that multiples of a vector get one score."""
+    c, q = c.astype(np.longdouble), q.astype(np.longdouble)
+    return np.round((c * q).sum(axis=1) / np.sqrt((c * c).sum(axis=1) * (q * q).sum()), DIGITS).astype(np.float64)
+
+
 def rerank(keep: int):
     """For a cogroup: the best members of a block for each of its queries, by exact cosine."""
 
@@ -104,12 +113,13 @@ def rerank(keep: int):
         cn, qn = np.sqrt((c * c).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
         first = members["first_id"].to_numpy()
         rows, cols, scores = [], [], []
-        few = min(keep + 4, len(c))
+        few = min(keep, len(c))
         for i in range(0, len(q), 512):
             near = (q[i : i + 512] / qn[i : i + 512, None]) @ (c / cn[:, None]).T
-            top = np.argpartition(-near, few - 1, axis=1)[:, :few]
-            for j, t in enumerate(top, i):
-                exact = (c[t] * q[j]).sum(axis=1) / (cn[t] * qn[j])
+            least = np.partition(near, len(c) - few, axis=1)[:, len(c) - few] - 2 * 10.0**-DIGITS
+            for j, (s, m) in enumerate(zip(near, least), i):
+                t = np.flatnonzero(s >= m)  # with all ties at the last score
+                exact = cosine(c[t], q[j])
                 best = np.lexsort((first[t], -exact))[:keep]
                 rows += [j] * len(best)
                 cols += t[best].tolist()

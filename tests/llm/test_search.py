@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stintlake.llm import hamming_search, rp_forest
@@ -47,6 +48,18 @@ def test_forest_recall_and_small_tables(spark):
     assert [tuple(r) for r in rp_forest.nearest(two, two).orderBy("query_id").collect()] == [(0, 1, 50, 0.0), (50, 1, 0, 0.0)]
 
 
+def test_forest_keeps_ties_of_scaled_vectors():
+    rng = np.random.default_rng(3)
+    v, q = rng.integers(-9, 10, (2, 16))
+    for trial in range(20):
+        ids, by = rng.permutation(40), rng.permutation(np.arange(1, 41))
+        c = np.concatenate([v * by[:, None], np.tile(-q, (30, 1))])  # 40 multiples of v, then worse ones
+        members = pa.table({"ckey": [str(i) for i in range(70)], "first_id": np.concatenate([ids, np.arange(100, 130)]), "embedding": c.astype("f8").tolist()})
+        probes = pa.table({"qkey": ["q"], "embedding": [q.astype("f8").tolist()]})
+        got = rp_forest.rerank(6)(members, probes)
+        assert got["first_id"].to_pylist() == [0, 1, 2, 3, 4, 5] and len(set(got["score"].to_pylist())) == 1
+
+
 def test_hamming_search_is_exact(spark):
     rng = np.random.default_rng(2)
     codes = rng.integers(-(2**63), 2**63, 400, dtype=np.int64)
