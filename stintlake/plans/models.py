@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stintlake.functions import network as N
 from stintlake.functions import regression as R
 from stintlake.functions import special as S
+from stintlake.functions.stint_model import impact
 from stintlake.plans.adapter import actions, table
 from stintlake.plans.season import daily, ice_time
 from stintlake.plans.timeline import pass_matrix, stint_sets
@@ -38,13 +39,9 @@ def poisson_glm(spark, sf_dir):
 
 @query
 def rapm(spark, sf_dir):
-    """Ridge impact of the twelve busiest players on how often their team is active, over stints."""
-    st = stint_sets(spark, sf_dir).filter("on_ice > 0").withColumn("us", F.col("to_us") - F.col("from_us"))
-    who = st.select("us", F.explode(F.split("members", ",")).alias("player"))
-    top = [r["player"] for r in who.groupBy("player").agg(F.sum("us").alias("us")).orderBy(F.desc("us"), "player").limit(12).collect()]
-    x = [F.lit(1.0), *[F.array_contains(F.split("members", ","), p).cast("double") for p in top]]
-    fit = R.glm(st, x, F.col("on_ice"), "poisson", F.ln(F.greatest(F.col("us") / 3.6e9, F.lit(1e-6))), np.array([0.0] + [5.0] * len(top)))
-    return coefficients(spark, ["intercept", *top], fit)
+    """Ridge impact of every player on how often their team is active, over stints; the penalty is chosen by leaving out games."""
+    st = stint_sets(spark, sf_dir).filter("on_ice > 0")
+    return impact(st.select("game", "members", F.col("on_ice").alias("y"), F.greatest((F.col("to_us") - F.col("from_us")) / 3.6e9, F.lit(1e-6)).alias("hours")))
 
 
 @query
