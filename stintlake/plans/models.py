@@ -96,8 +96,8 @@ def louvain(spark, sf_dir):
 @query
 def pca(spark, sf_dir):
     """Principal axes of the embeddings, from their correlations: loadings of the first three."""
-    e = table(spark, sf_dir, "embeddings").select("embedding").filter("size(embedding) = 64").select(*[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)])
-    g, s, _, n = R.gram(e, [F.col(f"x{i}") for i in range(8)], F.lit(1.0))
+    e = table(spark, sf_dir, "embeddings").select("embedding").filter("size(embedding) = 64").select(*[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)])
+    g, s, _, n = R.gram(e, [F.col(f"x{i}") for i in range(64)], F.lit(1.0))
     cov = g / n - np.outer(s / n, s / n)
     sd = np.sqrt(np.diag(cov))
     values, vectors = np.linalg.eigh(cov / np.outer(sd, sd))
@@ -105,7 +105,7 @@ def pca(spark, sf_dir):
     for k in range(3):
         v = vectors[:, -1 - k]
         v = v * np.sign(v[np.abs(v).argmax()])
-        rows += [(k, i, float(v[i]), float(values[-1 - k] / values.sum())) for i in range(8)]
+        rows += [(k, i, float(v[i]), float(values[-1 - k] / values.sum())) for i in range(64)]
     return spark.createDataFrame(rows, "axis int, feature int, loading double, explained double")
 
 
@@ -185,12 +185,14 @@ def games_needed(spark, sf_dir):
 
 @query
 def lineup_search(spark, sf_dir):
-    """Four disjoint trios of the twelve busiest players that are worth most: all partitions, scored by joins.
+    """Four disjoint trios of all players that are worth most: all partitions of the twelve best, scored by joins.
 
+    No rate is negative and a trio's worth grows with each of its rates, so an unused player of a higher rate can always take a
+    place without loss: the best four trios are found among the twelve highest rates, whatever the number of players.
     Each trio is a bit mask; partitions grow by one trio at a time that holds the first free player, so each is met once.
     """
-    t = ice_time(spark, sf_dir).filter("toi > 0").orderBy(F.desc("toi"), "player").limit(12)
-    t = t.withColumn("all", F.lit(1)).select(F.row_number().over(Window.partitionBy("all").orderBy("player")).alias("i"), "player", (3600.0 * F.col("goals") / F.col("toi")).alias("v"))
+    t = ice_time(spark, sf_dir).filter("toi > 0").select("player", (3600.0 * F.col("goals") / F.col("toi")).alias("v")).orderBy(F.desc("v"), "player").limit(12)
+    t = t.withColumn("all", F.lit(1)).select(F.row_number().over(Window.partitionBy("all").orderBy("player")).alias("i"), "player", "v")
     one = lambda n: t.select(F.col("i").alias(f"i{n}"), F.col("player").alias(f"p{n}"), F.col("v").alias(f"v{n}"))
     a, b, c = one(1), one(2), one(3)
     trio = a.join(F.broadcast(b), F.col("i1") < F.col("i2")).join(F.broadcast(c), F.col("i2") < F.col("i3"))
