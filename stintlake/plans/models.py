@@ -75,7 +75,7 @@ def pass_edges(spark, sf_dir) -> DataFrame:
 @query
 def pagerank(spark, sf_dir):
     """PageRank of the pass network."""
-    return N.pagerank(pass_edges(spark, sf_dir), rounds=20, tol=1e-6)
+    return N.pagerank(pass_edges(spark, sf_dir))
 
 
 @query
@@ -84,13 +84,13 @@ def ipf(spark, sf_dir):
     a = actions(spark, sf_dir)
     order = Window.partitionBy("team").orderBy("at_us", "event_id")
     c = a.select(F.col("action").alias("src"), F.lead("action").over(order).alias("dst")).dropna().groupBy("src", "dst").agg(F.count("*").alias("n"))
-    return N.quasi_independence(c, rounds=12)
+    return N.quasi_independence(c)
 
 
 @query
 def louvain(spark, sf_dir):
     """Communities of the pass network."""
-    return N.communities(pass_edges(spark, sf_dir), rounds=4)
+    return N.communities(pass_edges(spark, sf_dir))
 
 
 @query
