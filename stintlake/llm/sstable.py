@@ -3,7 +3,8 @@
 A shard holds documents in ascending order of their identifier. Keys are prefix-compressed within blocks, with a restart
 point every few entries; blocks are compressed one by one. After the blocks come a sparse index (the last key and the
 place of each block), a Bloom filter of all keys and a footer of fixed size. A lookup asks the filter, finds the block by
-binary search in the index, and the entry by binary search over the block's restart points.
+binary search in the index, and the entry by binary search over the block's restart points. A lookup in the table first
+finds the shards by binary search in their first identifiers.
 
     shard  := block* index bloom footer
     block  := zlib(entry* restart* n_restarts)       entry := shared, rest, size (varints) key-rest value
@@ -13,6 +14,9 @@ Writing deals rows by ranges of (doc_id, hash of the text), so a repeated id can
 A task writes its shard under a fresh name and reports it; only reported shards belong to the table, so a task that runs
 twice does no harm.
 
+An id takes two bytes in a file, or four if the vocabulary is larger than two bytes can number; a writer refuses a width
+that is too small for the vocabulary.
+
 Defined results: a null text counts as empty (its end id alone); rows with a null id come first; rows with one id are
 ordered by the hash of their text and all kept; an empty table gives no rows.
 """
@@ -38,7 +42,7 @@ from stintlake.session import new_path, written
 
 FOOTER = struct.Struct("<7Q8s")
 MAGIC = b"IDSHARD1"
-BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES = 1 << 16, 16, 10, 7
+BLOCK_BYTES, RESTART, BLOOM_BITS, BLOOM_HASHES, KEY_BYTES = 1 << 16, 16, 10, 7, 9
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -51,6 +55,8 @@ def id_of(key: bytes) -> int | None:
 
 
 def varint(n: int) -> bytes:
+    if n < 128:
+        return SMALL[n]
     out = bytearray()
     while n > 127:
         out.append(n & 127 | 128)
@@ -59,6 +65,9 @@ def varint(n: int) -> bytes:
     return bytes(out)
 
 
+SMALL = [bytes([n]) for n in range(128)]
+
+
 def read_varint(data: bytes, at: int) -> tuple[int, int]:
     n = shift = 0
     while True:
@@ -86,17 +95,22 @@ class ShardWriter:
     def _fresh(self) -> None:
         self.block, self.restarts, self.entries, self.last = bytearray(), [], 0, b""
 
-    def add(self, key: bytes, ids: np.ndarray) -> None:
+    def add(self, key: bytes, value: bytes) -> None:
+        """One document; value: its ids as little-endian integers of the shard's width."""
+        block = self.block
         if self.entries % RESTART == 0:
-            self.restarts.append(len(self.block))
+            self.restarts.append(len(block))
             shared = 0
-        else:
-            shared = next((i for i, (a, b) in enumerate(zip(self.last, key)) if a != b), len(key))
-        value = ids.astype(f"<u{self.width}").tobytes()
-        self.block += varint(shared) + varint(len(key) - shared) + varint(len(value)) + key[shared:] + value
+        else:  # the bytes above the highest bit in which both keys differ
+            shared = KEY_BYTES - ((int.from_bytes(self.last, "big") ^ int.from_bytes(key, "big")).bit_length() + 7) // 8
+        block += varint(shared)
+        block += varint(KEY_BYTES - shared)
+        block += varint(len(value))
+        block += key[shared:]
+        block += value
         self.entries, self.last = self.entries + 1, key
         self.keys.append(key)
-        self.tokens += len(ids)
+        self.tokens += len(value) // self.width
         if len(self.block) >= BLOCK_BYTES:
             self._flush()
 
@@ -183,15 +197,17 @@ def open_shard(path: str) -> Shard:
     return Shard(where.open_input_file(name))
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, width: int = 2) -> DataFrame:
-    """Writes the shards; a row for each: ``path, first_id, first_hash, documents, tokens, start`` (tokens before it).
+def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str) -> DataFrame:
+    """Writes the shards; a row for each: ``path, first_id, last_id, first_hash, documents, tokens, start`` (tokens before it).
 
-    The rows are the files' listing: as many as tasks that wrote one. width: bytes of an id in the file.
+    The rows are the files' listing: as many as tasks that wrote one.
     """
-    end = np.array([end_id], dtype="<u4")
+    names = ["path", "first_id", "last_id", "first_hash", "documents", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, writer = word_bpe(tokenizer_path), None
+        width, encode, doc_id = bpe.width, bpe.encoder(bpe.width).encode, None
+        end = end_id.to_bytes(width, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -201,18 +217,51 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
                         where.create_dir(top)
                         name, first = f"{uuid.uuid4().hex}.ids", (doc_id, order)
                         writer = ShardWriter(where.open_output_stream(f"{top}/{name}"), width)
-                    writer.add(key_of(doc_id), np.concatenate([np.frombuffer(bpe.encode(text or ""), "<u4"), end]))
+                    writer.add(key_of(doc_id), encode(text or "") + end)
         if writer:
             writer.close()
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([first[0]], pa.int64()), pa.array([first[1]], pa.int64()), pa.array([len(writer.keys)], pa.int64()), pa.array([writer.tokens], pa.int64())], names=["path", "first_id", "first_hash", "documents", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), *[pa.array([v], pa.int64()) for v in (first[0], doc_id, first[1], len(writer.keys), writer.tokens)]], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("order"))
     dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "order").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "order")
-    shards = written(dealt.mapInArrow(run, "path string, first_id long, first_hash long, documents long, tokens long"), "shards")
+    shards = written(dealt.mapInArrow(run, "path string, first_id long, last_id long, first_hash long, documents long, tokens long"), "shards")
     before = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_hash").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 
+def lookup(shards: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc_id, ids`` of every document whose id is in wanted (doc_id, not null); ids of no document give no row.
+
+    The listing of the shards, about 100 bytes a file, goes to all tasks. Rows are gathered by shard, so that each shard's
+    filter and index are read once.
+    """
+    spark = wanted.sparkSession
+    listing = [tuple(r) for r in shards.filter("last_id is not null").select(F.coalesce("first_id", F.lit(-(1 << 63))), "last_id", "path").collect()]
+    listing.sort()
+    shared = spark.sparkContext.broadcast(listing)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = shared.value
+        firsts, lasts = [f[0] for f in files], [f[1] for f in files]
+        for batch in batches:
+            found = []
+            for doc_id in batch.column(0).to_pylist():
+                n = bisect_left(lasts, doc_id)  # a repeated id can span shards
+                while n < len(files) and firsts[n] <= doc_id:
+                    found.append((files[n][2], doc_id))
+                    n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in ((0, pa.string()), (1, pa.int64()))], names=["path", "doc_id"])
+
+    def read(group: pa.Table) -> pa.Table:
+        shard, out = open_shard(group["path"][0].as_py()), []
+        for doc_id in group["doc_id"].to_pylist():
+            out += [(doc_id, ids.tolist()) for ids in shard.get(doc_id)]
+        return pa.table([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    ids = wanted.select(F.col("doc_id").cast("long")).dropna().distinct()
+    return ids.mapInArrow(places, "path string, doc_id long").groupBy("path").applyInArrow(read, "doc_id long, ids array<long>")
+
+
 def read_shards(shards: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document in the shards, one task a shard."""
 

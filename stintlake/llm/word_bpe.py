@@ -1,17 +1,18 @@
 """Fast exact use of a word-level BPE tokenizer of the tokenizers library.
 
 The tokenizer lower-cases, composes and cuts at white space, so the ids of a text are those of its space-separated words
-in turn. A worker keeps the ids of the words that it has met. A word of plain Latin characters goes to the library's
-merge model directly; any other goes through the library's whole chain of steps.
+in turn. A process keeps the ids of the words that it has met, within a bound of bytes. A word of plain Latin characters goes
+to the library's merge model directly; any other goes through the library's whole chain of steps.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
+from stintlake.llm.kept import Kept, held
 
 #: White space other than space, tab and line ends, and the separators that Python alone takes for white space.
 ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
@@ -19,8 +20,6 @@ WORDS = re.compile("[^ \t\n\r]+")
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: The tokenizer's own cut of a word, for plain characters in lower case.
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-#: Distinct words that a worker keeps, and the length up to which it keeps them.
-KEPT, KEPT_CHARS = 400_000, 64
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -31,46 +30,50 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class WordBpe:
+    """The tokenizer; as large as its vocabulary, so a worker process may hold on to it."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
         self.alphabet = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
-        self.kept: dict[str, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
-
-    def piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin1").translate(self.alphabet))]
-            if len(piece) <= KEPT_CHARS:
-                if len(self.pieces) >= KEPT:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
-        return ids
+        #: Bytes that an id of the vocabulary needs in a file.
+        self.width = 2 if self.whole.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+
+    def encoder(self, width: int = 4) -> Encoder:
+        """The process's encoder of this width."""
+        return held((id(self), width), lambda: Encoder(self, width))
+
+
+class Encoder:
+    """Texts to ids as little-endian unsigned integers of ``width`` bytes."""
+
+    def __init__(self, bpe: WordBpe, width: int):
+        if width < bpe.width:
+            raise ValueError("the vocabulary has ids of more bytes")
+        self.tokenize, self.whole, self.alphabet = bpe.whole.model.tokenize, bpe.whole, bpe.alphabet
+        self.code = {2: "H", 4: "I"}[width]
+        self.kept = Kept(self.word)
+
+    def merged(self, piece: str) -> bytes:
+        """The ids of a piece in lower case, which the merge model takes byte by byte."""
+        if not piece.isascii():
+            piece = piece.encode().decode("latin1").translate(self.alphabet)
+        return array(self.code, [t.id for t in self.tokenize(piece)]).tobytes()
 
     def word(self, word: str) -> bytes:
-        if PLAIN.fullmatch(word) and "<|" not in word:
-            ids = [i for piece in PIECES.findall(word.lower()) for i in self.piece(piece)]
-        else:
-            ids = self.whole.encode(word, add_special_tokens=False).ids
-        out = np.array(ids, dtype="<u4").tobytes()
-        if len(word) <= KEPT_CHARS:
-            if len(self.kept) >= KEPT:
-                self.kept.clear()
-            self.kept[word] = out
-        return out
+        if not PLAIN.fullmatch(word) or "<|" in word:
+            return array(self.code, self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+        low = word.lower()
+        if low.isalpha():
+            return self.merged(low)
+        # a word with its signs: the word alone is often known
+        return b"".join([self.kept[p] if p.isalpha() else self.merged(p) for p in PIECES.findall(low)])
 
     def encode(self, text: str) -> bytes:
-        """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        words = WORDS.findall(text) if ODD_SPACE.search(text) else text.split()
-        parts = list(map(self.kept.get, words))
-        if None in parts:
-            get = self.kept.get
-            parts = [p if p is not None else get(w) or self.word(w) for p, w in zip(parts, words)]
-        return b"".join(parts)
+        """The ids of a whole text."""
+        return b"".join(map(self.kept.__getitem__, WORDS.findall(text) if ODD_SPACE.search(text) else text.split()))
 
 
 @lru_cache(maxsize=4)
