@@ -1,19 +1,25 @@
 """Harmonic packing of token sequences.
 
-Harmonic packing puts a length of at most capacity / k into class k, and fills the bins of class k with exactly k items,
-class by class and without looking at other classes, so every worker packs its own documents alone. Documents may be cut
-here, so each is cut where the classes waste nothing: into whole capacities and then into the powers of two of what is
-left. A piece of capacity / k tokens is of class k, and k of them fill a sequence to the last token. The pieces that are
-left at a worker's end go, class by class, into sequences of a power of two of them, whose length is a power of two and
-needs no padding either.
+A length in (capacity / (k + 1), capacity / k] is of class k, and a bin of class k is filled with exactly k documents, class
+by class and without looking at other classes, so every worker packs its own documents alone. What such a bin leaves
+empty is topped up afterwards: it waits among at most ``waiting`` others until a document comes that fills it to within
+``slack`` tokens. A document is cut only
+
+- if it is longer than the capacity: into whole capacities, and the rest is packed as a document of its own class,
+- if so many bins wait already: then it fills the largest hole that it can, and its rest is packed again,
+- at a worker's end, where what still waits is packed anew: whole where it fits, the rest cut into full sequences, and
+  the last tokens into sequences of powers of two, which need no padding.
+
+A worker holds the ids of the documents that wait: at most ``waiting`` + (number of classes) sequences.
 
 Defined results: a null text counts as empty, which still has its end id; rows with null or repeated ids are packed as
-documents of their own; an empty table gives no rows.
+documents of their own; an empty table gives no rows. Columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,50 +35,87 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 STRIDE = 1 << 40
 
 
-def cut(length: int, capacity: int) -> Iterator[tuple[int, int]]:
-    """Start and length of a document's pieces: whole capacities, then the powers of two of the rest, largest first."""
-    at = 0
-    while length - at >= capacity:
-        yield at, capacity
-        at += capacity
-    size = capacity // 2
-    while at < length:
-        if length - at >= size:
-            yield at, size
-            at += size
-        size //= 2
-
-
 class Packer:
-    """One worker's bins: a list of open pieces for each class."""
+    """One worker's bins. An item is (doc_id, ids, start, length): a document or what is left of one."""
 
-    def __init__(self, capacity: int, worker: int):
-        if capacity & (capacity - 1):
-            raise ValueError("capacity must be a power of two")
-        self.capacity, self.next, self.open, self.out = capacity, worker * STRIDE, defaultdict(list), []
+    def __init__(self, capacity: int, worker: int, classes: int = 64, waiting: int = 128, slack: int = 12):
+        self.capacity, self.next, self.out = capacity, worker * STRIDE, []
+        self.classes, self.waiting, self.slack = min(classes, capacity), waiting, min(slack, capacity // 64)
+        self.open = defaultdict(list)
+        self.holes: list[tuple[int, int]] = []  # (tokens free, number of the bin), sorted
+        self.bins: dict[int, list[tuple]] = {}
+        self.made = 0
 
-    def _close(self, pieces: list[tuple]) -> None:
+    def _close(self, items: list[tuple]) -> None:
         at = 0
-        for piece in pieces:
-            self.out.append((*piece, self.next, at))
-            at += piece[2]
+        for doc_id, ids, start, length in items:
+            part = ids if 4 * length == len(ids) else ids[4 * start : 4 * (start + length)]
+            self.out.append((doc_id, start, length, zlib.crc32(part), len(ids) // 4, self.next, at))
+            at += length
         self.next += 1
 
+    def _wait(self, items: list[tuple], free: int) -> None:
+        if free <= self.slack:
+            self._close(items)
+        else:
+            self.made += 1
+            self.bins[self.made] = items
+            insort(self.holes, (free, self.made))
+
+    def _fill(self, at: int, item: tuple) -> None:
+        free, n = self.holes.pop(at)
+        items = self.bins.pop(n)
+        items.append(item)
+        self._wait(items, free - item[3])
+
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        total = len(ids) // 4
-        for start, size in cut(total, self.capacity):
-            group = self.open[size]
-            group.append((doc_id, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), total))
-            if len(group) * size == self.capacity:
-                self._close(group)
-                self.open[size] = []
+        start, left = 0, len(ids) // 4
+        while left >= self.capacity:
+            self._close([(doc_id, ids, start, self.capacity)])
+            start, left = start + self.capacity, left - self.capacity
+        while left:
+            at = bisect_left(self.holes, (left,))
+            fits = at < len(self.holes)
+            if fits and self.holes[at][0] - left <= self.slack:
+                return self._fill(at, (doc_id, ids, start, left))
+            if len(self.holes) < self.waiting:
+                k = min(self.capacity // left, self.classes)
+                group = self.open[k]
+                group.append((doc_id, ids, start, left))
+                if len(group) == k:
+                    del self.open[k]
+                    self._wait(group, self.capacity - sum(i[3] for i in group))
+                return
+            if not at:  # all holes are larger
+                return self._fill(0, (doc_id, ids, start, left))
+            free = self.holes[at - 1][0]
+            self._fill(at - 1, (doc_id, ids, start, free))
+            start, left = start + free, left - free
 
     def finish(self) -> None:
-        for group in self.open.values():
-            while group:
-                n = 1 << (len(group).bit_length() - 1)
-                self._close(group[:n])
-                del group[:n]
+        items = [i for group in [*self.bins.values(), *self.open.values()] for i in group]
+        self.holes, self.bins, self.open = [], {}, defaultdict(list)
+        for item in sorted(items, key=lambda i: -i[3]):  # whole ones, the longest first, into the tightest hole
+            at = bisect_left(self.holes, (item[3],))
+            if at < len(self.holes):
+                self._fill(at, item)
+            else:
+                self._wait([item], self.capacity - item[3])
+        rest = [i for n in sorted(self.bins) for i in self.bins[n]]
+        total = sum(i[3] for i in rest)
+        size, group = self.capacity, []
+        while rest:
+            while size > total:  # the last sequences: powers of two
+                size = 1 << (total.bit_length() - 1)
+            free = size - sum(i[3] for i in group)
+            doc_id, ids, start, length = rest.pop()
+            if length > free:
+                rest.append((doc_id, ids, start + free, length - free))
+            group.append((doc_id, ids, start, min(length, free)))
+            if length >= free:
+                self._close(group)
+                group, total = [], total - size
+        self.holes, self.bins = [], {}
 
     def take(self) -> pa.RecordBatch:
         rows, self.out = self.out, []
@@ -85,12 +128,12 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, packer = word_bpe(tokenizer_path), Packer(capacity, TaskContext.get().partitionId())
+        encode, packer = word_bpe(tokenizer_path).encoder().encode, Packer(capacity, TaskContext.get().partitionId())
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    packer.add(doc_id, bpe.encode(text or "") + end)
+                    packer.add(doc_id, encode(text or "") + end)
                 if len(packer.out) > 20_000:
                     yield packer.take()
         packer.finish()

@@ -44,10 +44,24 @@ def odd_texts(n):
 
 def test_texts_encode_like_the_libraries(enc, tik):
     word = WordBpe(WORD)
+    words = word.encoder()
+    words.kept.limit = 20_000  # forgets often
+    assert word.width == 2
+    with pytest.raises(ValueError):
+        word.encoder(1)
     for text in [*odd_texts(1500), *(t or "" for _, t in ODD)]:
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == tik.encode_ordinary(text)
         assert enc.decode(enc.encode(text)) == text.encode()
-        assert np.frombuffer(word.encode(text), "<u4").tolist() == word.whole.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == word.whole.encode(text, add_special_tokens=False).ids
+
+
+def test_patterns_that_join_words_are_matched_whole(enc):
+    assert enc.apart
+    pattern = r"\p{L}+ \p{L}+|\S+|\s+"  # joins two words
+    own = byte_bpe.Encoder(RANKS, pattern)
+    tik = tiktoken.Encoding("joined", pat_str=pattern, mergeable_ranks=enc.ranks.ids, special_tokens={})
+    for text in [*odd_texts(200), "some words here and there, 12 of them"]:
+        assert not own.apart and np.frombuffer(own.encode(text), "<u4").tolist() == tik.encode_ordinary(text)
 
 
 def test_prefix_table_appends_and_edits(enc):
@@ -88,6 +102,9 @@ def test_shards_round_trip(spark):
     for i in (1, 4, 6, 8):
         found = [x for s in opened for x in s.get(i)]
         assert len(found) == 1 and found[0].tolist() == [*ids_of(dict(ODD)[i]).tolist(), 2]
+    wanted = spark.createDataFrame([(1,), (4,), (5,), (5,), (99,), (None,)], "doc_id long")
+    found = sstable.lookup(shards, wanted).collect()
+    assert sorted((r["doc_id"], r["ids"]) for r in found) == sorted((i, [*ids_of(t).tolist(), 2]) for i, t in ODD if i in (1, 4, 5))
     assert sum(len(s.get(5)) for s in opened) == 2 and not any(s.get(99) for s in opened)
     assert sstable.read_shards(sstable.write_shards(docs(spark, []), WORD, 2, new_path(spark, "sst"))).count() == 0
 
@@ -100,7 +117,7 @@ def test_shard_of_many_blocks(tmp_path):
     w = sstable.ShardWriter(Out(open(tmp_path / "s", "wb")), 4)
     sets = {i: np.arange(i % 300, dtype="<u4") + 70_000 for i in range(-500, 5000, 3)}
     for i, ids in sets.items():
-        w.add(sstable.key_of(i), ids)
+        w.add(sstable.key_of(i), ids.tobytes())
     w.close()
     shard = sstable.open_shard(f"file://{tmp_path}/s")
     assert len(shard.index) > 5 and shard.documents == len(sets)
@@ -110,21 +127,55 @@ def test_shard_of_many_blocks(tmp_path):
     assert sum(shard.may_hold(sstable.key_of(i)) for i in range(10_000, 20_000)) < 400
 
 
-def test_packing_keeps_every_id_and_pads_nothing(spark):
-    rows = ODD + [(100 + i, " ".join(f"w{j}" for j in range(i))) for i in range(200)]
-    got = packing.pack(docs(spark, rows), WORD, 256).collect()
-    assert sum(r["length"] for r in got) == sum(len(ids_of(t)) + 1 for _, t in rows)
-    ids = {i: np.append(ids_of(t), 1).astype("<u4") for i, t in rows if i is not None and i not in (5, 7)}
-    sequences = {}
-    for r in got:
-        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-        if r["doc_id"] in ids:
-            part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
-            assert len(part) == r["length"] and zlib.crc32(part.tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(ids[r["doc_id"]])
+def pieces_are_whole(got, ids, capacity):
+    """Each id of each document in exactly one piece, each sequence without gaps; returns the padding and the pieces."""
+    sequences, docs_ = {}, {}
+    for doc_id, start, length, crc, total, sequence, offset in got:
+        sequences.setdefault(sequence, []).append((offset, length))
+        docs_.setdefault(doc_id, []).append((start, length, crc, total))
+    padding = 0
     for pieces in sequences.values():
         at = 0
         for offset, length in sorted(pieces):
-            assert offset == at
+            assert offset == at and length > 0
+            at += length
+        assert at <= capacity
+        padding += 0 if at & (at - 1) == 0 else capacity - at
+    assert docs_.keys() == ids.keys()
+    for doc_id, pieces in docs_.items():
+        at = 0
+        for start, length, crc, total in sorted(pieces):
+            assert start == at and total == len(ids[doc_id]) and crc == zlib.crc32(ids[doc_id][at : at + length].tobytes())
             at += length
-        assert at <= 256 and at & (at - 1) == 0
+        assert at == len(ids[doc_id])
+    return padding
+
+
+def test_packing_holds_every_id_once(spark):
+    rows = [(i, t) for i, t in ODD if i not in (None, 5, 7)] + [(100 + i, " ".join(f"w{j}" for j in range(i))) for i in range(200)]
+    got = packing.pack(docs(spark, rows), WORD, 256).collect()
+    pieces_are_whole(got, {i: np.append(ids_of(t), 1).astype("<u4") for i, t in rows}, 256)
+    twice = packing.pack(docs(spark, ODD), WORD, 256).collect()
+    assert sum(r["length"] for r in twice) == sum(len(ids_of(t)) + 1 for _, t in ODD)
     assert packing.pack(docs(spark, []), WORD).count() == 0
+
+
+@pytest.mark.parametrize("capacity, high", [(2048, 3000), (256, 255), (64, 40), (1, 5), (100, 300)])
+def test_packer_on_random_lengths(capacity, high):
+    rnd = np.random.default_rng(high)
+    ids = {i: np.full(n, i, "<u4") for i, n in enumerate(rnd.integers(1, high + 1, 3000))}
+    packer = packing.Packer(capacity, 2)
+    for i, x in ids.items():
+        packer.add(i, x.tobytes())
+    packer.finish()
+    padding = pieces_are_whole(packer.out, ids, capacity)
+    assert padding <= 0.01 * sum(map(len, ids.values())) and all(r[5] >> 40 == 2 for r in packer.out)
+    if high > 100 and capacity > 255:
+        assert len(packer.out) < 1.5 * len(ids) + sum(len(x) // capacity for x in ids.values())
+
+
+def test_bins_hold_as_many_documents_as_their_class():
+    packer = packing.Packer(2048, 0)
+    for i in range(5):
+        packer.add(i, bytes(4 * 409))  # 2048 // 409 is 5
+    assert [r[:3] for r in packer.out] == [(i, 0, 409) for i in range(5)] and {r[5] for r in packer.out} == {0}
