@@ -1,5 +1,4 @@
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stintlake.llm import hamming_search, rp_forest
@@ -19,7 +18,7 @@ def test_forest_is_exact_when_it_visits_all(spark):
     odd = [(None, x[0].tolist()), (900, None), (902, [0.0] * 16), (904, [nan] + [1.0] * 15), (906, [inf] + [1.0] * 15), (908, [None] + [1.0] * 15), (910, []), (912, [1.0, 2.0])]
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     df = vectors(spark, rows + odd + rows[:5])
-    got = rp_forest.nearest(df, df.filter("vec_id % 10 = 0"), 5, leaf_rows=16, search_leaves=10_000, block_rows=64).collect()
+    got = rp_forest.nearest(df, df.filter("vec_id % 10 = 0"), 5, leaf_rows=16, sample_rows=64, search_leaves=10_000).collect()
     u = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1, keepdims=True)
     for q in range(0, 300, 10):
         mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
@@ -35,7 +34,7 @@ def test_forest_recall_and_small_tables(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((3000, 32)).astype("f4")
     df = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
-    got = rp_forest.nearest(df, df.filter("vec_id % 100 = 0"), 5, leaf_rows=64, sample_rows=1024, search_leaves=40).collect()
+    got = rp_forest.nearest(df, df.filter("vec_id % 100 = 0"), 5, leaf_rows=64, sample_rows=1024).collect()
     u = x.astype("f8") / np.linalg.norm(x, axis=1, keepdims=True)
     hits = 0
     for q in range(0, 3000, 100):
@@ -48,16 +47,33 @@ def test_forest_recall_and_small_tables(spark):
     assert [tuple(r) for r in rp_forest.nearest(two, two).orderBy("query_id").collect()] == [(0, 1, 50, 0.0), (50, 1, 0, 0.0)]
 
 
-def test_forest_keeps_ties_of_scaled_vectors():
+def test_forest_keeps_ties_of_scaled_vectors(spark):
     rng = np.random.default_rng(3)
     v, q = rng.integers(-9, 10, (2, 16))
     for trial in range(20):
         ids, by = rng.permutation(40), rng.permutation(np.arange(1, 41))
-        c = np.concatenate([v * by[:, None], np.tile(-q, (30, 1))])  # 40 multiples of v, then worse ones
-        members = pa.table({"ckey": [str(i) for i in range(70)], "first_id": np.concatenate([ids, np.arange(100, 130)]), "embedding": c.astype("f8").tolist()})
-        probes = pa.table({"qkey": ["q"], "embedding": [q.astype("f8").tolist()]})
-        got = rp_forest.rerank(6)(members, probes)
-        assert got["first_id"].to_pylist() == [0, 1, 2, 3, 4, 5] and len(set(got["score"].to_pylist())) == 1
+        c = np.concatenate([v * by[:, None], np.tile(-q, (30, 1))]).astype("f8")  # 40 multiples of v, then worse ones
+        rows, cols, scores = rp_forest.best_members(c, np.concatenate([ids, np.arange(100, 130)]), q[None].astype("f8"), 6)
+        assert np.concatenate([ids, np.arange(100, 130)])[cols].tolist() == [0, 1, 2, 3, 4, 5] and len(set(scores)) == 1
+    df = vectors(spark, [(i, (v * (i + 1.0)).tolist()) for i in range(60)])
+    got = rp_forest.nearest(df, df.filter("vec_id = 50"), 5, leaf_rows=8, sample_rows=16, search_leaves=1000).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [0, 1, 2, 3, 4] and {r["score"] for r in got} == {1.0}
+
+
+def test_forest_leaves_are_bounded_and_queues_agree(spark):
+    """Leaves stay small while the table outgrows the samples, and the queue run level by level finds what one queue does."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 8))
+    rows = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x.astype("f4"))]).select(F.unhex(F.md5(F.col("vec_id").cast("string"))).alias("ckey"), F.col("vec_id").alias("first_id"), "embedding").cache()
+    forest = rp_forest.Forest(rows, 8, 3000, 3, 4, 32, 5, "array<float>")
+    leaves = forest.table.filter("leaf is not null").select(F.size("keys").alias("n"), "tree").collect()
+    assert max(r["n"] for r in leaves) <= 8 and len(forest.levels) >= 1
+    assert all(sum(r["n"] for r in leaves if r["tree"] == t) == 3000 for t in range(3))
+    probes = rows.filter("first_id < 5").select(F.col("ckey").alias("qkey"), "embedding").cache()
+    everything = forest.visits(probes, 10**6).groupBy("qkey").agg(F.sort_array(F.collect_list("far")).alias("far")).collect()
+    few = {bytes(r["qkey"]): r["far"] for r in forest.visits(probes, 50).groupBy("qkey").agg(F.sort_array(F.collect_list("far")).alias("far")).collect()}
+    for r in everything:
+        assert len(r["far"]) == len(leaves) and np.allclose(r["far"][:50], few[bytes(r["qkey"])])
 
 
 def test_hamming_search_is_exact(spark):
