@@ -10,15 +10,18 @@ prefix token under every one of several orders:
    tokens as many as an overlap needs must occur elsewhere.
 2. For the rest, rare tokens first, ties by hash: candidates share a prefix token, at positions that leave room for the
    overlap needed.
-3. Rare tokens first, ties by another hash: candidates must share a prefix token again.
+3. and 4. Two orders by other hashes, which have nothing to do with how rare a token is: of longer prefixes again,
+   candidates must share several tokens under each.
 
-What passes all filters is verified on whole sets. Links serve to find classes, so pairs within a class that is known
-already are not looked at: every prefix token first pairs its documents with one pivot, the links found merge into
-classes, and then only pairs across classes go through all filters. No group of copies is expanded into all its pairs, and
-no pair that could join two classes is left out.
+Every pair passes all of 2, 3 and 4 before its whole sets are verified. Links serve to find classes, so pairs within a
+class that is known already are not looked at: every prefix token first pairs its documents with one pivot, the links found
+merge into classes, and then only pairs across classes are formed: by token and size, each document with the sizes that
+leave room only, in blocks where a token is frequent. No group of copies is expanded into all its pairs, and no pair that
+could join two classes is left out.
 
-Equal sets are one node (exact copies collapse first). Shingles and nodes are 64-bit hashes; two different ones of the
-same document or corpus agree with a probability near n * n / 2 ** 65.
+Equal sets are one node (exact copies collapse first). Nodes are numbered by a 64-bit hash of their sets; a second hash
+confirms it, and sets that share a number without sharing the second are numbered by the second. Shingles are 64-bit
+hashes; two different ones of the same document or corpus agree with a probability near n * n / 2 ** 65.
 
 Defined results: a document without words or text has no shingles and is its own class. One with fewer words than a
 shingle has a single shingle of all its words. Rows with a null id take part; their class is the smallest id of those
@@ -42,6 +45,8 @@ from stintlake.session import written
 
 U64 = np.uint64
 STEP = U64(0x9E3779B97F4A7C15)
+#: Tokens (of 16 bytes with their node) in a bucket, postings of a token in a block, first hashes that may clash.
+BUCKET_TOKENS, BLOCK_ROWS, CLASHES = 4_000_000, 4096, 100_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -64,9 +69,17 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(mixed(out))
 
 
-def node_of(tokens: np.ndarray) -> int | None:
-    """The number of a token set, None for the empty one."""
-    return xxhash.xxh64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None
+def hash_of(data: bytes, seed: int) -> int:
+    return xxhash.xxh64_intdigest(data, seed) - (1 << 63)
+
+
+def node_of(tokens: np.ndarray, clashing: frozenset[int] = frozenset()) -> int | None:
+    """The number of a token set, None for the empty one; ``clashing``: first hashes that different sets share."""
+    if not len(tokens):
+        return None
+    data = tokens.tobytes()
+    first = hash_of(data, 0)
+    return hash_of(data, 1) if first in clashing else first
 
 
 def needed(n, percent: int):
@@ -79,20 +92,29 @@ def _binary(arrays) -> pa.Array:
 
 
 def profile(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, text_key, n, node`` of each document."""
+    """``doc_id, text_key, n, node, other`` of each document; other: the second hash of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = [shingles(text, words) for text in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(node_of, sets), pa.int64())], names=["doc_id", "text_key", "n", "node"])
+                other = [hash_of(s.tobytes(), 1) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(node_of, sets), pa.int64()), pa.array(other, pa.int64())], names=["doc_id", "text_key", "n", "node", "other"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, n long, node long")
+    return rows.mapInArrow(run, "doc_id long, text_key long, n long, node long, other long")
+
 
+def clashes(profiles: DataFrame) -> frozenset[int]:
+    """First hashes that different sets share: of n sets, n * n / 2 ** 65 are to be expected (70 of 5e10)."""
+    found = profiles.filter("n > 0").groupBy("node").agg(F.min("other").alias("a"), F.max("other").alias("b")).filter("a <> b").select("node").limit(CLASHES + 1).collect()
+    if len(found) > CLASHES:
+        raise ValueError("more sets share their hashes than chance allows")
+    return frozenset(r["node"] for r in found)
 
-def prefixes(docs: DataFrame, words: int, percent: int, extra: int) -> DataFrame:
+
+def prefixes(docs: DataFrame, words: int, percent: int, extra: int, clashing: frozenset[int]) -> DataFrame:
     """``node, tokens`` of each document with shingles; tokens: its smallest hashes, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,11 +122,16 @@ def prefixes(docs: DataFrame, words: int, percent: int, extra: int) -> DataFrame
             for at in range(0, batch.num_rows, 2048):
                 sets = [s for text in batch.column(0).slice(at, 2048).to_pylist() if len(s := shingles(text, words))]
                 heads = [s[: len(s) - needed(len(s), percent) + max(1, len(s) // extra)] for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(map(node_of, sets), pa.int64()), _binary(heads)], names=["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s, clashing) for s in sets], pa.int64()), _binary(heads)], names=["node", "tokens"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "node long, tokens binary")
 
 
+def buckets_for(docs: DataFrame, tokens: int) -> int:
+    """How many buckets ``tokens`` (token, node) pairs are dealt to: of bounded size, and enough for all cores."""
+    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS))
+
+
 def shared_counts(sets: DataFrame, buckets: int) -> DataFrame:
     """``node, shared``: how many of a node's tokens (or more) other nodes hold too, from ``node, tokens`` (packed).
 
@@ -125,7 +152,8 @@ def shared_counts(sets: DataFrame, buckets: int) -> DataFrame:
             at, at_known, at_credit = (x % U64(buckets) for x in (tokens[once], known, credit.view(U64)))
             parts = [(split(at, buckets, tokens[once]), split(at, buckets, nodes[once]), split(at_known, buckets, known), split(at_credit, buckets, credit), split(at_credit, buckets, counts))]
             for columns in parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets), pa.int32()), *map(_binary, columns)], names=["bucket", "tokens", "nodes", "known", "credit", "counts"])
+                some = pa.array([i for i in range(buckets) if len(columns[0][i]) or len(columns[3][i])], pa.int32())
+                yield pa.RecordBatch.from_arrays([some, *(_binary(c).take(some) for c in columns)], names=["bucket", "tokens", "nodes", "known", "credit", "counts"])
 
     def count(group: pa.Table) -> pa.Table:
         tokens, nodes, known, credit, counts = (np.frombuffer(b"".join(group[c].to_pylist()), kind) for c, kind in (("tokens", U64), ("nodes", np.int64), ("known", U64), ("credit", np.int64), ("counts", np.int64)))
@@ -206,32 +234,73 @@ def as_arrays(sets: DataFrame) -> DataFrame:
     return sets.select("node", "n", "tokens").mapInArrow(run, "node long, n long, tokens array<long>")
 
 
-def orders(sets: DataFrame, percent: int) -> DataFrame:
-    """``node, n, first, second, at``: prefixes of shared tokens under two orders that put rare tokens first.
+def orders(sets: DataFrame, percent: int, extra: int) -> DataFrame:
+    """``node, n, at, k, first, second, third``: prefixes of shared tokens under three orders.
 
-    Tokens of one node only come first of all and can be in no other prefix; ``at`` of them lie before the tokens shown.
+    first: rare tokens first; second and third: by hashes. Under all of them the tokens of one node only come before all
+    others and can be in no other prefix; ``at`` of them lie before the tokens shown. Of second and third, which are longer
+    by k - 1 tokens, linked sets share as many tokens as the smaller k says.
     """
     each = sets.select("node", "n", F.explode("tokens").alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     held = each.join(often, "token").groupBy("node", "n").agg(F.collect_list(F.struct("df", "token")).alias("held"))
     length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0)).cast("long") + 1
+    k = F.greatest(F.floor(F.col("n") / extra), F.lit(1))
     keep = F.greatest(length - F.col("at"), F.lit(0)).cast("int")
-    other = F.transform("held", lambda x: F.struct(x["df"].alias("df"), F.xxhash64(F.lit("second"), x["token"]).alias("token")))
+    longer = F.greatest(length + F.col("k") - 1 - F.col("at"), F.lit(0)).cast("int")
+
+    def by_hash(name: str) -> Column:
+        return F.slice(F.array_sort(F.transform("held", lambda x: F.xxhash64(F.lit(name), x["token"]))), F.lit(1), longer).alias(name)
+
     return (
-        held.withColumn("at", F.col("n") - F.size("held"))
-        .select("node", "n", "at", F.slice(F.array_sort("held"), F.lit(1), keep)["token"].alias("first"), F.slice(F.array_sort(other), F.lit(1), keep)["token"].alias("second"))
+        held.withColumn("at", F.col("n") - F.size("held")).withColumn("k", k)
+        .select("node", "n", "at", "k", F.slice(F.array_sort("held"), F.lit(1), keep)["token"].alias("first"), by_hash("second"), by_hash("third"))
         .filter(F.size("first") > 0)
     )
 
 
-def room(percent: int) -> Column:
-    """Whether the overlap that the sizes need fits after the shared token, if it is the first one that both hold.
+def largest_partner(percent: int) -> Column:
+    """The largest set that a set of ``n`` tokens can link with, if the shared token is the first one that both hold.
+
+    ``left`` counts a node's tokens after it, so the overlap is left + 1 at most. Before their first common token two sets
+    have none in common, so a pair that links passes there; at its later common tokens it need not be met again.
+    """
+    most = F.floor((F.col("left") + 1) * (100 + percent) / F.lit(percent)) - F.col("n")
+    return F.least(most, F.floor(F.col("n") * 100 / F.lit(percent)))
+
+
+def size_class(n: Column) -> Column:
+    """Sizes within about a twentieth of one another."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.05))).cast("int")
+
 
-    ``left`` counts a node's tokens after it. Before their first common token two sets have none in common, so a pair that
-    links passes there; at its later common tokens it need not be met again.
+def across(post: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of postings ``token, node, n, left, root`` of one token and different roots, where the sizes leave room.
+
+    Of each token, all nodes but those of its largest root look for others: in the classes of the sizes that they can link
+    with. Postings that can link with no size are left out. A frequent token's nodes are dealt to blocks on one side.
     """
-    most = F.least("x.left", "y.left") + 1
-    return most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    post = post.withColumn("most", largest_partner(percent)).withColumn("least", F.ceil(F.col("n") * percent / F.lit(100.0))).filter("most >= least").drop("left")
+    sizes = post.groupBy("token", "root").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("m", "root"))["root"].alias("main"), F.count("*").alias("roots"), F.sum("m").alias("m")).filter("roots > 1")
+    main = main.select("token", "main", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
+    mixed_tokens = written(post.join(main, "token"), "across")
+    x = mixed_tokens.filter("root <> main").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    x = x.withColumn("size", F.explode(F.sequence(size_class(F.col("least")), size_class(F.col("most"))))).alias("x")
+    y = mixed_tokens.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("size", size_class(F.col("n"))).alias("y")
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.size") == F.col("y.size"))
+    apart = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+    fit = F.col("y.n").between(F.col("x.least"), F.col("x.most")) & F.col("x.n").between(F.col("y.least"), F.col("y.most"))
+    return x.join(y, same & apart & fit).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def filtered(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share enough tokens of their prefixes under the second and the third order."""
+    for order in ("second", "third"):
+        one, two = (known.select(F.col("node").alias(c), F.col(order).alias(f"s_{c}"), F.col("k").alias(f"k_{c}")) for c in "ab")
+        both = F.size(F.array_intersect("s_a", "s_b")) >= F.least("k_a", "k_b")
+        pairs = pairs.join(one, "a").join(two, "b").filter(both).select("a", "b")
+    return pairs
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -242,28 +311,19 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").withColumn("i", both).filter(F.col("i") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
 
-def links(sets: DataFrame, percent: int) -> DataFrame:
+def links(sets: DataFrame, percent: int, extra: int = 10) -> DataFrame:
     """Links (a, b) of distinct sets (node, n, tokens) whose components are those of all similar pairs."""
-    known = written(orders(sets, percent), "orders")
+    known = written(orders(sets, percent, extra), "orders")
     post = known.select("node", "n", "at", F.posexplode("first").alias("i", "token"))
     post = written(post.select("token", "node", "n", "at", (F.col("n") - F.col("at") - F.col("i") - 1).alias("left")), "prefixes")
     # every prefix token pairs its nodes with the one that has fewest tokens of its own: the source of copies, if it is there
     pivots = post.groupBy("token").agg(F.min(F.struct("at", "node"))["node"].alias("b"), F.count("*").alias("m")).filter("m > 1").drop("m")
     stars = post.select("token", "node").join(pivots, "token").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    found = written(verified(stars, sets, percent), "links")
-    # then pairs across the classes found so far; of each token, all but the nodes of its largest class look for others
+    found = written(verified(filtered(stars, known), sets, percent), "links")
+    # then pairs across the classes found so far
     roots = components(found)
-    post = post.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    post = written(post, "classed")
-    sizes = post.groupBy("token", "root").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("m", "root"))["root"].alias("main"), F.count("*").alias("classes")).filter("classes > 1").drop("classes")
-    mixed_tokens = written(post.join(main, "token"), "across")
-    x, y = mixed_tokens.filter("root <> main").alias("x"), mixed_tokens.alias("y")
-    across = (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    pairs = x.join(y, across & room(percent)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    one, two = (known.select(F.col("node").alias(c), F.col("second").alias(f"s_{c}")) for c in "ab")
-    pairs = pairs.join(one, "a").join(two, "b").filter(F.arrays_overlap("s_a", "s_b")).select("a", "b")
-    return found.unionByName(verified(pairs, sets, percent))
+    post = post.join(roots, "node", "left").select("token", "node", "n", "left", F.coalesce("root", "node").alias("root"))
+    return found.unionByName(verified(filtered(across(post, percent), known), sets, percent))
 
 
 def classes(docs: DataFrame, words: int = 5, percent: int = 80, extra: int = 10, with_key: bool = False, broadcast_rows: int = 250_000) -> DataFrame:
@@ -273,17 +333,22 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, extra: int = 10,
     token in so many, and links must share as many of them. with_key: also ``class`` (a number of the class, null without
     shingles) and ``text_key`` (the text's xxhash64).
     """
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     profiles = written(profile(docs, words), "profiles")
+    clashing = clashes(profiles)
+    if clashing:
+        profiles = profiles.withColumn("node", F.when(F.col("node").isin(*clashing), F.col("other")).otherwise(F.col("node")))
     nodes = profiles.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("least_id"))
     nodes = written(nodes.select("node", "n", "least_id", "rep.doc_id", "rep.text_key"), "nodes")
     least = (F.col("n") * percent + 99 - (F.col("n") * percent + 99) % 100) / 100  # of the tokens of any set that it links with
-    shared = shared_counts(prefixes(docs, words, percent, extra), buckets)
+    tokens = profiles.agg(F.sum("n")).first()[0] or 0
+    shared = shared_counts(prefixes(docs, words, percent, extra, clashing), buckets_for(docs, tokens * (100 - percent + 100 // extra) // 100))
     picked = nodes.join(shared, "node").filter(F.col("shared") >= F.greatest(F.floor(least / extra), F.lit(1))).select("node", "n", "doc_id", "text_key")
-    whole = token_sets(docs, written(picked, "picked"), words, broadcast_rows)
+    picked = written(picked, "picked")
+    whole = token_sets(docs, picked, words, broadcast_rows)
+    buckets = buckets_for(docs, picked.agg(F.sum("n")).first()[0] or 0)
     near = whole.join(shared_counts(whole, buckets), "node").filter(F.col("shared") >= least)
     sets = written(as_arrays(near), "sets")
-    roots = components(written(links(sets, percent), "links"))
+    roots = components(written(links(sets, percent, extra), "links"))
     ids = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_ids = ids.groupBy("root").agg(F.min("least_id").alias("component_id"))
     class_of = ids.join(least_ids, "root").select("node", "root", "component_id")

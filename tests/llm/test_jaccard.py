@@ -65,6 +65,47 @@ def test_classes_equal_brute_force(spark, seed):
     assert sorted(map(key, got)) == sorted(map(key, brute(rows)))
 
 
+def test_numbers_that_clash(spark, monkeypatch):
+    """Sets that share their first hash are told apart by the second."""
+    rows = corpus(1)
+    df = docs(spark, rows)
+    profiles = ngram_jaccard.profile(df, 5)
+    assert ngram_jaccard.clashes(profiles) == frozenset()
+    nodes = sorted({r["node"] for r in profiles.filter("n > 0").collect()})
+    some = frozenset(nodes[::3])
+    monkeypatch.setattr(ngram_jaccard, "clashes", lambda profiles: some)  # these go by their second hash
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, ngram_jaccard.classes(df).collect())) == sorted(map(key, brute(rows)))
+    monkeypatch.undo()
+    same = spark.createDataFrame([(5, 1, 10), (5, 2, 10), (6, 3, 4), (6, 3, 4)], "node long, other long, n long")
+    assert ngram_jaccard.clashes(same) == {5}
+
+
+def template(rnd, n, own, shared=80):
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    common = [word() for _ in range(shared)]
+    return [(i, " ".join(common + [word() for _ in range(own)])) for i in range(n)]
+
+
+def test_near_misses_of_one_template_are_not_paired(spark):
+    """2000 documents that share four fifths: too little to link, and no pair of them is formed."""
+    df = docs(spark, template(random.Random(9), 2000, 22))
+    got = ngram_jaccard.classes(df).collect()
+    assert all(r["doc_id"] == r["component_id"] for r in got)
+    post = spark.createDataFrame([(1, i, 100, 79, i) for i in range(2000)], "token long, node long, n long, left long, root long")
+    assert ngram_jaccard.across(post, 80).count() == 0
+    post = spark.createDataFrame([(1, i, 100, 95, i) for i in range(90)], "token long, node long, n long, left long, root long")
+    assert ngram_jaccard.across(post, 80).count() == 90 * 89 // 2
+
+
+@pytest.mark.parametrize("rows", [1, 4096])
+def test_frequent_tokens_are_dealt_to_blocks(spark, monkeypatch, rows):
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_ROWS", rows)
+    data = template(random.Random(3), 25, 12, 90) + [(100 + i, t) for i, t in template(random.Random(4), 25, 24, 90)]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, ngram_jaccard.classes(docs(spark, data)).collect())) == sorted(map(key, brute(data)))
+
+
 def test_no_documents(spark):
     assert ngram_jaccard.classes(docs(spark, [])).count() == 0
 
