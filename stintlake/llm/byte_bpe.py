@@ -17,7 +17,6 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +24,18 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from stintlake.llm.common import table
+from stintlake.llm.kept import Kept, held
 
 #: White space as Unicode defines it (fixed values).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Runs that the pattern never joins: a word with one space before it, or white space up to it.
 RUNS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Distinct runs and pieces that a worker keeps, and the length up to which it keeps them.
-KEPT, KEPT_CHARS = 500_000, 64
+#: Patterns that never join a word to anything but one space before it (fixed value); with others, texts are matched whole.
+APART = (
+    r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",
+)
+#: Bytes of the runs, the pieces and the pairs of tokens that a worker keeps, each in two generations.
+RUN_BYTES, PIECE_BYTES, PAIRS = 40 << 20, 20 << 20, 300_000
 
 
 class Ranks:
@@ -82,7 +86,7 @@ class Ranks:
                 before, left = left, self.parts[left][1]
             else:
                 before, right = right + 1, self.parts[right][0]
-        if len(self.apart) > 2_000_000:
+        if len(self.apart) > PAIRS:  # of about 100 bytes
             self.apart.clear()
         self.apart[a << 32 | b] = ok
         return ok
@@ -141,47 +145,29 @@ class Encoder:
     """Whole texts to ids (as little-endian unsigned 32-bit integers) and back."""
 
     def __init__(self, path: str, pattern: str):
-        self.ranks, self.pieces, self.kept = Ranks(path), regex.compile(pattern), {}
-        self.known: dict[str, bytes] = {}
+        self.ranks, self.pieces, self.apart = Ranks(path), regex.compile(pattern), pattern in APART
+        self.kept, self.known = Kept(self.run, RUN_BYTES), Kept(self.piece, PIECE_BYTES)
         self.packed = [i.to_bytes(4, "little") for i in range(len(self.ranks.bytes))]
 
     def piece(self, piece: str) -> bytes:
-        out = self.known.get(piece)
-        if out is None:
-            raw = piece.encode()
-            token = self.ranks.ids.get(raw)
-            ids = [token] if token is not None else PrefixTable(self.ranks, raw).ids()
-            out = b"".join([self.packed[i] for i in ids])
-            if len(piece) <= KEPT_CHARS:
-                if len(self.known) >= KEPT:
-                    self.known.clear()
-                self.known[piece] = out
-        return out
+        raw = piece.encode()
+        token = self.ranks.ids.get(raw)
+        ids = [token] if token is not None else PrefixTable(self.ranks, raw).ids()
+        return b"".join([self.packed[i] for i in ids])
 
     def run(self, run: str) -> bytes:
-        out = b"".join(map(self.piece, self.pieces.findall(run)))
-        if len(run) <= KEPT_CHARS:
-            if len(self.kept) >= KEPT:
-                self.kept.clear()
-            self.kept[run] = out
-        return out
+        return b"".join(map(self.known.__getitem__, self.pieces.findall(run)))
 
     def encode(self, text: str) -> bytes:
-        runs = RUNS.findall(text)
-        parts = list(map(self.kept.get, runs))
-        if None in parts:
-            get = self.kept.get
-            parts = [p if p is not None else get(r) or self.run(r) for p, r in zip(parts, runs)]
-        return b"".join(parts)
+        return b"".join(map(self.kept.__getitem__, RUNS.findall(text))) if self.apart else self.run(text)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.ranks.bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, pattern: str) -> Encoder:
-    """One encoder a worker process."""
-    return Encoder(path, pattern)
+    """The process's encoder."""
+    return held((path, pattern), lambda: Encoder(path, pattern))
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = True) -> DataFrame:
