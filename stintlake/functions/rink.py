@@ -48,3 +48,14 @@ def angle(along: Column, across: Column) -> Column:
 
 def period_of(seconds: Column) -> Column:
     return (F.floor(F.greatest(seconds, F.lit(0)) / 1200) + 1).cast("int")
+
+
+def contested(x: Column, y: Column, won: Column) -> tuple[Column, Column]:
+    """Feet of a contested action in the acting team's frame: such rows are in the winner's, so a loser's place is turned."""
+    tx, ty = turned(x, y)
+    return to_feet(F.when(won, x).otherwise(tx), F.when(won, y).otherwise(ty))
+
+
+def shot_features(along: Column, across: Column) -> Column:
+    """The intercept, log distance and angle of a shot."""
+    return F.array(F.lit(1.0), F.ln(distance(along, across)), angle(along, across))

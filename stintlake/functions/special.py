@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,22 +102,46 @@ def ln_poisson(k: int, mu: float) -> float:
     return k * math.log(mu) - mu - math.lgamma(k + 1) if mu > 0 else (0.0 if k == 0 else -math.inf)
 
 
+@lru_cache(maxsize=8)
+def _ln_factorials(top: int) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, top + 1)))])
+
+
+def ln_factorials(n: int) -> np.ndarray:
+    """ln(0!) to ln(n!) at least."""
+    return _ln_factorials(1 << max(10, n.bit_length()))
+
+
 def poisson_two_sided(k: int, mu: float) -> float:
     """Sum of all outcomes no likelier than k."""
-    at = ln_poisson(k, mu) + 1e-7
-    top = math.ceil(mu + 12 * math.sqrt(mu) + 20) + k
-    return min(1.0, sum(math.exp(p) for i in range(top + 1) if (p := ln_poisson(i, mu)) <= at))
+    if mu <= 0:
+        return 1.0 if k == 0 else 0.0
+    i = np.arange(math.ceil(mu + 12 * math.sqrt(mu) + 20) + k + 1)
+    ln = i * math.log(mu) - mu - ln_factorials(len(i))[: len(i)]
+    return min(1.0, float(np.exp(ln[ln <= ln[k] + 1e-7]).sum()))
 
 
-def ln_binomial(k: int, n: int, p: float) -> float:
+def ln_binomials(n: int, p: float) -> np.ndarray:
+    """The log chances of 0 to n successes."""
+    i, f = np.arange(n + 1), ln_factorials(n)
     if p <= 0 or p >= 1:
-        return 0.0 if k == (0 if p <= 0 else n) else -math.inf
-    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+        return np.where(i == (0 if p <= 0 else n), 0.0, -np.inf)
+    return f[n] - f[i] - f[n - i] + i * math.log(p) + (n - i) * math.log1p(-p)
 
 
 def binomial_two_sided(k: int, n: int, p: float) -> float:
-    at = ln_binomial(k, n, p) + math.log1p(1e-7)
-    return min(1.0, sum(math.exp(q) for i in range(n + 1) if (q := ln_binomial(i, n, p)) <= at))
+    """Sum of all outcomes no likelier than k."""
+    ln = ln_binomials(n, p)
+    return min(1.0, float(np.exp(ln[ln <= ln[k] + math.log1p(1e-7)]).sum()))
+
+
+def binomial_rejected(n: int, p: float, level: float = 0.05) -> np.ndarray:
+    """For 0 to n successes, whether the two-sided exact test rejects p at the level."""
+    ln = ln_binomials(n, p)
+    order = np.argsort(ln)
+    sums = np.cumsum(np.exp(ln[order]))
+    upto = np.searchsorted(ln[order], ln + math.log1p(1e-7), side="right")  # all no likelier
+    return sums[upto - 1] < level
 
 
 def fisher(a: int, b: int, c: int, d: int) -> float:
@@ -163,11 +189,16 @@ def wilcoxon(differences: list[float]) -> tuple[float, float, int]:
 
 
 def column(f: Callable[..., float], *args: Column) -> Column:
-    """A function of numbers as a column, computed by batches; null where an argument is null."""
+    """A function of numbers as a column, computed once for each distinct set of arguments of a batch; null where one is null."""
 
     @F.pandas_udf("double")
     def run(*series: pd.Series) -> pd.Series:
-        return pd.Series([None if any(pd.isna(v) for v in row) else f(*row) for row in zip(*series)], dtype="float64")
+        rows = pd.concat(series, axis=1, keys=range(len(series)))
+        group = rows.groupby(list(rows.columns), sort=False, dropna=False).ngroup()
+        first = rows[~group.duplicated()]
+        values = np.array([np.nan if any(pd.isna(v) for v in row) else f(*row) for row in first.itertuples(index=False)], dtype=float)
+        out = values[group.to_numpy()] if len(rows) else values
+        return pd.Series(out).astype(object).where(~np.isnan(out), None) if len(rows) else pd.Series([], dtype="float64")
 
     return run(*args)
 
@@ -175,3 +206,18 @@ def column(f: Callable[..., float], *args: Column) -> Column:
 def whole(f: Callable[..., float], n: int) -> Callable[..., float]:
     """f with its first n arguments made integers."""
     return lambda *a: f(*[int(v) for v in a[:n]], *a[n:])
+
+
+def normal_cdf(z: float) -> float:
+    return math.erfc(-z / math.sqrt(2)) / 2
+
+
+def normal_quantile(q: float) -> float:
+    return bisect(normal_cdf, q, -40.0, 40.0)
+
+
+def correlation_p(r: float, n: float) -> float:
+    """Two-sided p of a correlation of n pairs by Student's t; 0 for a perfect one."""
+    if n < 3:
+        return math.nan
+    return 0.0 if abs(r) >= 1 else t_two_sided(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)

@@ -45,37 +45,80 @@ def title_parts(path: Column) -> Column:
     return F.struct(normalise_name(part[0]).alias("team_a"), part[1].cast("int").alias("goals_a"), part[2].cast("int").alias("goals_b"), normalise_name(part[3]).alias("team_b"), F.try_to_date(part[4], "dd.MM.yyyy").alias("day"))
 
 
+#: The forms of a printed cell after its numbers are put as n: kind, and which of the numbers are its parts.
+CELLS = {
+    "n": ("Int", 1), "+n": ("Int", 1), "-n": ("Int", 1), "n.n": ("Decimal", 0), "+n.n": ("Decimal", 0), "-n.n": ("Decimal", 0),
+    "n%": ("Percent", 0), "+n%": ("Percent", 0), "-n%": ("Percent", 0), "n.n%": ("Percent", 0), "+n.n%": ("Percent", 0), "-n.n%": ("Percent", 0),
+    "n:n": ("Clock", 0), "n/n": ("Ratio", 2), "n/n n%": ("Ratio", 2), "n/n/n": ("Triple", 3), "n n%": ("CountShare", 2), "n:n n%": ("ClockShare", 0), "n-n": ("Pair", 2),
+}
+
+
 def cell(x: Column) -> Column:
-    """struct(kind, a, b, c) of a printed report cell: empty, whole and decimal numbers, percentages, clocks, ratios, triples, pairs; else text."""
+    """struct(kind, a, b, c) of a printed report cell: empty, whole and decimal numbers, percentages, clocks, ratios, triples,
+    pairs; else text. The cell's skeleton (numbers as n, no spaces around signs) is looked up once; only then are numbers read."""
     t = F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), "[—–]", "-"))
-
-    def got(pattern: str, i: int) -> Column:
-        return F.regexp_extract(t, pattern, i)
-
-    def clock(pattern: str, i: int) -> Column:
-        return got(pattern, i).cast("double") * 60 + got(pattern, i + 1).cast("double")
-
-    none = F.lit(None).cast("double")
-
-    def made(kind: str, a: Column = none, b: Column = none, c: Column = none) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), c.alias("c"))
-
-    num = lambda p, i: got(p, i).cast("double")
-    forms = {
-        r"^([+-]?\d+)$": lambda p: made("Int", num(p, 1)),
-        r"^([+-]?\d+\.\d+)$": lambda p: made("Decimal", num(p, 1)),
-        r"^([+-]?\d+(?:\.\d+)?)%$": lambda p: made("Percent", num(p, 1)),
-        r"^(\d+):(\d\d)$": lambda p: made("Clock", clock(p, 1)),
-        r"^(\d+) ?/ ?(\d+)(?: \d+%)?$": lambda p: made("Ratio", num(p, 1), num(p, 2)),
-        r"^(\d+) ?/ ?(\d+) ?/ ?(\d+)$": lambda p: made("Triple", num(p, 1), num(p, 2), num(p, 3)),
-        r"^(\d+) (\d+)%$": lambda p: made("CountShare", num(p, 1), num(p, 2)),
-        r"^(\d+):(\d\d) (\d+)%$": lambda p: made("ClockShare", clock(p, 1), num(p, 3)),
-        r"^(\d+) ?- ?(\d+)$": lambda p: made("Pair", num(p, 1), num(p, 2)),
-    }
-    out = F.when((t == "") | (t == "-"), made("Empty"))
-    for pattern, build in forms.items():
-        out = out.when(t.rlike(pattern), build(pattern))
-    return out.otherwise(made("Text"))
+    skeleton = F.regexp_replace(F.regexp_replace(t, r"\d+", "n"), "(?<=n) ?([/-]) ?(?=n)", "$1")
+    form = F.try_element_at(F.create_map(*[F.lit(v) for k, f in CELLS.items() for v in (k, f[0])]), skeleton)
+    n = F.regexp_extract_all(t, F.lit(r"(\d+)"))
+    part = lambda i: F.get(n, F.lit(i)).try_cast("double")
+    sign = F.when(t.startswith("-"), -1.0).otherwise(1.0)
+    decimal = F.regexp_extract(t, r"^[+-]?(\d+(?:\.\d+)?)", 1).try_cast("double") * sign
+    seconds = F.when(F.length(F.get(n, F.lit(1))) == 2, part(0) * 60 + part(1))
+    kind = F.when((t == "") | (t == "-"), "Empty").when(form.isin("Clock", "ClockShare") & seconds.isNull(), "Text").otherwise(F.coalesce(form, F.lit("Text")))
+    shown = F.struct(kind.alias("kind"), t.alias("t"))
+    k = shown["kind"]
+    a = F.when(k.isin("Decimal", "Percent", "Int"), decimal).when(k.isin("Clock", "ClockShare"), seconds).when(k.isin("Ratio", "Triple", "CountShare", "Pair"), part(0))
+    b = F.when(k.isin("Ratio", "Triple", "CountShare", "Pair"), part(1)).when(k == "ClockShare", part(2))
+    c = F.when(k == "Triple", part(2))
+    return F.struct(k.alias("kind"), a.alias("a"), b.alias("b"), c.alias("c"))
+
+
+def cell_number(c: Column) -> Column:
+    """The main number of a cell: its first part, 0 for an empty one, null for text."""
+    return F.when(c["kind"] == "Empty", 0.0).when(c["kind"] != "Text", c["a"])
+
+
+def cell_as(c: Column, what: str) -> Column:
+    """A cell read as a count, signed, seconds, decimal, percent (numbers) or a ratio, pair, triple (first parts); null if it is of
+    another kind. Empty cells count as 0, but have no percent: that is printed where the base is zero."""
+    kinds = {
+        "count": ("Int", "CountShare"), "signed": ("Int",), "seconds": ("Clock", "ClockShare"), "decimal": ("Decimal", "Int"),
+        "ratio": ("Ratio",), "pair": ("Pair",), "triple": ("Triple",), "percent": ("Percent", "CountShare", "ClockShare"),
+    }[what]
+    if what == "percent":
+        return F.when(c["kind"] == "Percent", c["a"]).when(c["kind"].isin("CountShare", "ClockShare"), c["b"])
+    value = F.when((c["kind"] == "Int") & (c["a"] < 0) & F.lit(what == "count"), None).otherwise(c["a"])
+    return F.when(c["kind"] == "Empty", 0.0).when(c["kind"].isin(*kinds), value)
+
+
+def title_case(x: Column) -> Column:
+    """Words with a capital and small letters, single spaces."""
+    return F.initcap(F.lower(normalise_name(x)))
+
+
+def infer_year(day: Column, month: Column, reference: Column) -> Column:
+    """The last date of a printed day and month that is at most one day after ``reference``."""
+    this = F.make_date(F.year(reference), month, day)
+    return F.when(F.datediff(this, reference) <= 1, this).otherwise(F.make_date(F.year(reference) - 1, month, day))
+
+
+def percent_decode(x: Column) -> Column:
+    """Text with %XX escapes as UTF-8; null where an escape is broken. A plus sign stays."""
+    return F.when(~x.rlike("%(?![0-9A-Fa-f]{2})"), F.try_url_decode(F.regexp_replace(x, r"\+", "%2B")))
+
+
+def probability_words(p: Column) -> Column:
+    """How a chance of being above average is put into words."""
+    return (
+        F.when(p.isNull(), "-").when(p >= 0.9, "very likely above average").when(p >= 0.75, "probably above average")
+        .when(p <= 0.1, "very likely below average").when(p <= 0.25, "probably below average").otherwise("can't tell yet")
+    )
+
+
+def ordinal(n: Column) -> Column:
+    """1st, 2nd, 3rd, 4th, 11th."""
+    teen = (n % 100).between(11, 13)
+    return F.concat(n.cast("string"), F.when(teen, "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th"))
 
 
 def video_ms(x: Column) -> Column:

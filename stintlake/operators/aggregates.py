@@ -17,10 +17,15 @@ def weighted_mean(value: str, weight: str) -> Column:
     return F.sum(F.when(use, F.col(value) * F.col(weight))) / F.sum(F.when(use, F.col(weight)))
 
 
-def mode_with_trust(df: DataFrame, key: str, value: str, trust: str) -> DataFrame:
-    """``key, value, trust, votes``: the commonest value of each key among those of the highest trust (ties: larger)."""
+def position_rank(value: Column) -> Column:
+    """Which of equally frequent positions wins: goalkeepers before defence before forwards."""
+    return F.when(value == "Goalie", 3).when(value == "Defence", 2).when(value == "Forward", 1).otherwise(0)
+
+
+def mode_with_trust(df: DataFrame, key: str, value: str, trust: str, tie: Column | None = None) -> DataFrame:
+    """``key, value, trust, votes``: the commonest value of each key among those of the highest trust (ties: larger ``tie``, then value)."""
     counts = df.groupBy(key, trust, value).agg(F.count("*").alias("votes"))
-    best = F.max(F.struct(trust, "votes", value)).alias("_b")
+    best = F.max(F.struct(trust, "votes", *([tie.alias("_t")] if tie is not None else []), value)).alias("_b")
     return counts.groupBy(key).agg(best).select(key, f"_b.{value}", f"_b.{trust}", "_b.votes")
 
 

@@ -73,21 +73,41 @@ def welch_stat(spark, sf_dir):
     return a.agg(F.round((F.avg(x) - F.avg(y)) / F.sqrt(va + vb), 6).alias("t"), F.round((va + vb) ** 2 / (va**2 / (F.count(x) - 1) + vb**2 / (F.count(y) - 1)), 4).alias("df"))
 
 
-@query()
+#: ln of a binomial chance, and the exact two-sided p as sums over all outcomes no likelier.
+def ln_binomial_sql(k: str, n: str, p: str) -> str:
+    return f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1) + {k} * ln({p}) + ({n} - {k}) * ln(1 - {p}))"
+
+
+def binomial_p_sql(k: str, n: str, p: str) -> str:
+    """Needs 0 < p < 1."""
+    return f"least(1, (SELECT sum(exp({ln_binomial_sql('i', n, p)})) FILTER (WHERE {ln_binomial_sql('i', n, p)} <= {ln_binomial_sql(k, n, p)} + 1e-7) FROM (SELECT unnest(range(0, CAST({n} AS BIGINT) + 1)) AS i)))"
+
+
+@query(f""", {TOI}, x AS (SELECT player, clicks AS k, clicks + views AS n, (sum(clicks) OVER w - clicks) / nullif(sum(clicks + views) OVER w - clicks - views, 0) AS p FROM t WINDOW w AS (PARTITION BY player % 2)),
+y AS (SELECT *, n * p AS mu FROM x WHERE n > 0 AND p > 0 AND p < 1)
+SELECT player, round({binomial_p_sql('k', 'n', 'p')}, 6) AS p_binomial, round(least(1, (SELECT sum(exp(i * ln(mu) - mu - lgamma(i + 1))) FILTER (WHERE i * ln(mu) - mu - lgamma(i + 1) <= k * ln(mu) - mu - lgamma(k + 1) + 1e-7) FROM (SELECT unnest(range(0, CAST(ceil(mu + 12 * sqrt(mu) + 20) AS BIGINT) + k + 1)) AS i))), 6) AS p_poisson FROM y""")
 def exact_tests(spark, sf_dir):
-    """Exact binomial and Poisson p-values of each player's clicks against the team's share."""
-    t = ice_time(spark, sf_dir)
-    n = F.col("clicks") + F.col("views")
-    return t.filter(n > 0).select("player", S.column(S.whole(S.binomial_two_sided, 2), F.col("clicks"), n, F.lit(0.5)).alias("p_binomial"), S.column(S.whole(S.poisson_two_sided, 1), F.col("clicks"), n / 2).alias("p_poisson"))
+    """Exact binomial and Poisson p-values of each player's clicks against the share of the team without them."""
+    w = Window.partitionBy(F.col("player") % 2)
+    t = ice_time(spark, sf_dir).withColumn("n", F.col("clicks") + F.col("views"))
+    t = t.withColumn("p", A.ratio(F.sum("clicks").over(w) - F.col("clicks"), F.sum("n").over(w) - F.col("n"))).filter("n > 0 and p > 0 and p < 1")
+    b, q = S.column(S.whole(S.binomial_two_sided, 2), F.col("clicks"), F.col("n"), F.col("p")), S.column(S.whole(S.poisson_two_sided, 1), F.col("clicks"), F.col("n") * F.col("p"))
+    return t.select("player", F.round(b, 6).alias("p_binomial"), F.round(q, 6).alias("p_poisson"))
 
 
-@query()
+LN_TABLE = "(lgamma(r + 1) - lgamma(x + 1) - lgamma(r - x + 1) + lgamma(n - r + 1) - lgamma(s - x + 1) - lgamma(n - r - s + x + 1))"
+
+
+@query(f""", c AS (SELECT action, count(*) FILTER (WHERE team = 0 AND period = 1) AS a, count(*) FILTER (WHERE team = 0 AND period = 3) AS b, count(*) FILTER (WHERE team = 1 AND period = 1) AS c, count(*) FILTER (WHERE team = 1 AND period = 3) AS d FROM act GROUP BY action),
+m AS (SELECT action, a, a + b AS r, a + c AS s, a + b + c + d AS n FROM c), e AS (SELECT m.*, unnest(range(greatest(0, r + s - n), least(r, s) + 1)) AS x FROM m), l AS (SELECT action, a, x, {LN_TABLE} AS ln FROM e),
+o AS (SELECT *, max(CASE WHEN x = a THEN ln END) OVER (PARTITION BY action) AS at, max(ln) OVER (PARTITION BY action) AS top FROM l)
+SELECT action, round(least(1, sum(CASE WHEN ln <= at + 1e-7 THEN exp(ln - top) ELSE 0 END) / sum(exp(ln - top))), 6) AS p FROM o GROUP BY action""")
 def fisher_tests(spark, sf_dir):
     """Fisher's exact test of each action's counts in periods 1 and 3 by team."""
     a = actions(spark, sf_dir)
     cells = [F.count_if((F.col("team") == t) & (F.col("period") == p)).alias(f"c{t}{p}") for t in (0, 1) for p in (1, 3)]
     g = a.groupBy("action").agg(*cells)
-    return g.select("action", S.column(S.whole(S.fisher, 4), *[F.col(f"c{t}{p}") for t in (0, 1) for p in (1, 3)]).alias("p"))
+    return g.select("action", F.round(S.column(S.whole(S.fisher, 4), *[F.col(f"c{t}{p}") for t in (0, 1) for p in (1, 3)]), 6).alias("p"))
 
 
 @query()
@@ -123,10 +143,11 @@ def zgames(spark, sf_dir) -> DataFrame:
 @query(f""", {ZGAMES}, d AS (SELECT a.game, b.game AS like_game, sqrt(((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.v - b.v) ** 2) / 3) AS distance FROM z a JOIN z b ON b.game < a.game)
 SELECT game, like_game, round(distance, 5) AS distance, CAST(n AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY game ORDER BY distance, like_game) AS n FROM d) WHERE n <= 3""")
 def similar_games(spark, sf_dir):
-    """The three earlier days most like each day (days are few: one row each)."""
+    """The three earlier days most like each day: a row a day on both sides; over 10,000 days are an error, not a broadcast."""
     z = zgames(spark, sf_dir)
+    bound = z.agg(F.when(F.count("*") > 10_000, F.raise_error(F.lit("too many days to compare each with all"))).alias("none"))
     o = z.select(F.col("game").alias("like_game"), *[F.col(c).alias(f"o{c}") for c in "xyv"])
-    d = z.join(F.broadcast(o), F.col("like_game") < F.col("game"))
+    d = z.join(F.broadcast(o), F.col("like_game") < F.col("game")).join(F.broadcast(bound), F.col("none").cast("string").isNull())
     d = d.withColumn("distance", F.sqrt(sum((F.col(c) - F.col(f"o{c}")) ** 2 for c in "xyv") / 3))
     return W.top(d, ["game"], ["distance", "like_game"], 3).select("game", "like_game", F.round("distance", 5).alias("distance"), "n")
 

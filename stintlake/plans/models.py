@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -62,10 +63,10 @@ def ols_fit(spark, sf_dir):
 
 @query
 def logit_wins(spark, sf_dir):
-    """Which team has more purchases on a day and period, by its clicks and views."""
+    """Which team has more purchases on a day and period, by its clicks and views: Firth's logistic regression with Wald tests."""
     kind, mine = F.col("action"), F.col("team") == 0
     d = actions(spark, sf_dir).groupBy("game", "period").agg(*[(F.count_if((kind == k) & mine) - F.count_if((kind == k) & ~mine)).alias(k) for k in ("click", "view", "purchase")])
-    return coefficients(spark, ["intercept", "clicks", "views"], R.glm(d, [F.lit(1.0), F.col("click") / 10, F.col("view") / 10], (F.col("purchase") > 0).cast("double"), "logistic", penalty=np.array([0, 0.01, 0.01])))
+    return coefficients(spark, ["intercept", "clicks", "views"], R.firth(d, [F.lit(1.0), F.col("click") / 10, F.col("view") / 10], (F.col("purchase") > 0).cast("double")))
 
 
 def pass_edges(spark, sf_dir) -> DataFrame:
@@ -78,13 +79,20 @@ def pagerank(spark, sf_dir):
     return N.pagerank(pass_edges(spark, sf_dir))
 
 
+def kind_changes(spark, sf_dir) -> DataFrame:
+    """``src, dst, n`` of all pairs of kinds: how often one follows the other on a team's day (0 for pairs that never do)."""
+    a = actions(spark, sf_dir)
+    order = Window.partitionBy("team", "game").orderBy("at_us", "event_id")
+    c = a.select(F.col("action").alias("src"), F.lead("action").over(order).alias("dst")).dropna().groupBy("src", "dst").agg(F.count("*").alias("n"))
+    kinds = c.select(F.explode(F.array("src", "dst")).alias("k")).distinct()  # five of them
+    every = kinds.select(F.col("k").alias("src")).crossJoin(kinds.select(F.col("k").alias("dst")))
+    return every.join(c, ["src", "dst"], "left").na.fill(0, ["n"])
+
+
 @query
 def ipf(spark, sf_dir):
     """Expected passes without preference between the kinds of action that follow one another."""
-    a = actions(spark, sf_dir)
-    order = Window.partitionBy("team").orderBy("at_us", "event_id")
-    c = a.select(F.col("action").alias("src"), F.lead("action").over(order).alias("dst")).dropna().groupBy("src", "dst").agg(F.count("*").alias("n"))
-    return N.quasi_independence(c)
+    return N.quasi_independence(kind_changes(spark, sf_dir))
 
 
 @query
@@ -126,9 +134,9 @@ def kmeans(spark, sf_dir):
 
 @query
 def bootstrap_ci(spark, sf_dir):
-    """Means of the teams' daily totals with bootstrap intervals: 1000 resamples by hashed draws, in array functions."""
+    """Means of the teams' daily totals with bootstrap intervals: 4000 resamples by hashed draws, in array functions."""
     d = actions(spark, sf_dir).groupBy("team", "game").agg(F.sum("value").alias("v")).groupBy("team").agg(F.collect_list(F.struct("game", "v")).alias("g"))
-    d = d.select("team", F.transform(F.array_sort("g"), lambda x: x["v"]).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("rep"))
+    d = d.select("team", F.transform(F.array_sort("g"), lambda x: x["v"]).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(4000))).alias("rep"))
     n = F.size("v")
     draw = F.transform(F.sequence(F.lit(1), n), lambda i: F.get("v", F.pmod(F.xxhash64(F.lit(11), F.col("team"), F.col("rep"), i), n).cast("int")))
     m = d.select("team", "v", (F.aggregate(draw, F.lit(0.0), lambda a, x: a + x) / n).alias("m"))
@@ -159,23 +167,27 @@ def permutation_p(spark, sf_dir):
 
 @query
 def games_needed(spark, sf_dir):
-    """Games until an exact test against one half would find each player's share, four times out of five."""
+    """Games, up to 60, until an exact test against one half would find each player's share, four times out of five: 400 simulations of Poisson attempts a step of a binary search."""
 
-    def power(share: float, a_game: float, games: int, rng: np.random.Generator) -> float:
-        n = max(1, round(a_game * games))
-        z = (rng.binomial(n, share, 400) - n / 2) / np.sqrt(n / 4)
-        return float((np.abs(z) > 1.96).mean())
+    most, tries, wanted = 60, 400, 0.8
 
     def run(batches):
+        rejected = lru_cache(maxsize=4096)(lambda n: S.binomial_rejected(n, 0.5))  # of this task
+
+        def power(share: float, a_game: float, games: int, rng: np.random.Generator) -> float:
+            n = rng.poisson(a_game * games, tries)
+            k = rng.binomial(n, share)
+            return float(np.mean([rejected(int(m))[j] for m, j in zip(n, k)]))
+
         for pdf in batches:
             out = []
             for p, s, n, g in pdf.itertuples(index=False):
-                rng, low, high = np.random.default_rng(2024 + int(p)), 1, 4096
+                rng, low, high = np.random.default_rng(2024 + int(p)), 1, most + 1
                 share = (s + 50) / (n + 100)
                 while low < high:
                     mid = (low + high) // 2
-                    low, high = (low, mid) if power(share, n / g, mid, rng) >= 0.8 else (mid + 1, high)
-                out.append((p, share, low if low < 4096 else None))
+                    low, high = (low, mid) if power(share, n / g, mid, rng) >= wanted else (mid + 1, high)
+                out.append((p, share, low if low <= most else None))
             yield pd.DataFrame(out, columns=["player", "share", "games"]).astype({"games": "float64"})
 
     kind = F.col("action")

@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -26,8 +27,14 @@ def test_exact_tests():
     for k in range(8):
         assert abs(special.poisson_two_sided(k, 2.5) - sum(q for q in pmf if q <= pmf[k] * (1 + 1e-7))) < 1e-12
     assert abs(special.fisher(3, 1, 1, 3) - 34 / 70) < 1e-12
-    w, p, n = special.wilcoxon([1.0, 2.0, 3.0, 4.0, -5.0])
-    assert (w, n) == (10.0, 5) and abs(p - 2 * 10 / 32) < 0.2
+    d = [1.5, -2.0, 3.0, 4.5, -5.0, 6.0, 7.0]  # ranks 1 to 7, all signs equally likely
+    w, p, n = special.wilcoxon(d)
+    sums = [sum(r for r, s in zip(range(1, 8), signs) if s) for signs in itertools.product((0, 1), repeat=7)]
+    assert (w, n) == (21.0, 7) and abs(p - min(1, 2 * min(np.mean([x <= 21 for x in sums]), np.mean([x >= 21 for x in sums])))) < 1e-12
+    assert abs(special.normal_quantile(0.975) - 1.959963984540054) < 1e-9 and abs(special.normal_cdf(-1.0) - 0.15865525393145707) < 1e-12
+    assert special.correlation_p(1.0, 10) == 0 and abs(special.correlation_p(0.5, 12) - special.t_two_sided(0.5 * math.sqrt(10 / 0.75), 10)) < 1e-12
+    for n, p0 in ((9, 0.5), (30, 0.31)):
+        assert [bool(x) for x in special.binomial_rejected(n, p0)] == [special.binomial_two_sided(k, n, p0) < 0.05 for k in range(n + 1)]
     assert special.wilcoxon([1.0, 2.0, 3.0])[1] == 0.25 and special.wilcoxon([0.0])[2] == 0
 
 
@@ -120,19 +127,25 @@ def test_rapm_has_all_players(spark):
     assert registry.QUERIES["rapm"](spark, sf).count() == players + 1 > 13
 
 
-def test_texts_and_cells(spark):
-    cells = ["—", "", "+2", "-19", "27:46", "3 / 1 33%", "1/0", "5/ 2", "1 — 0", "11—4", "44 / 29 / 4", "33 40%", "07:33 44%", "0.14", "free text"]
-    got = [tuple(r["c"]) for r in spark.createDataFrame([(c,) for c in cells], "s string").select(text.cell(F.col("s")).alias("c")).collect()]
+def test_cells_of_every_kind(spark):
     n = None
-    assert got == [("Empty", n, n, n), ("Empty", n, n, n), ("Int", 2, n, n), ("Int", -19, n, n), ("Clock", 1666, n, n), ("Ratio", 3, 1, n), ("Ratio", 1, 0, n), ("Ratio", 5, 2, n), ("Pair", 1, 0, n), ("Pair", 11, 4, n), ("Triple", 44, 29, 4), ("CountShare", 33, 40, n), ("ClockShare", 453, 44, n), ("Decimal", 0.14, n, n), ("Text", n, n, n)]
-    t = spark.createDataFrame([("125",), ("125.4",), ("0.125",), ("-3",), ("-0.5",), ("1.2345",)], "s string").select(text.video_ms(F.col("s")).alias("v")).collect()
-    assert [r["v"] for r in t] == [125000, 125400, 125, -3000, -500, None]
-    r = spark.createDataFrame([("Boyd  zach", "x/game.csv")], "n string, f string").select(text.name_key(F.col("n")), text.display_name(F.col("n")), text.surname(F.col("n")), text.title_parts(F.col("f"))["team_a"]).first()
-    assert tuple(r) == ("BOYD ZACH", "ZACH BOYD", "BOYD", None)
+    want = {
+        "": ("Empty", n, n, n), None: ("Empty", n, n, n), " – ": ("Empty", n, n, n), "8": ("Int", 8, n, n), "+13": ("Int", 13, n, n), "–4": ("Int", -4, n, n), "2.50": ("Decimal", 2.5, n, n), "-0.07": ("Decimal", -0.07, n, n),
+        "61%": ("Percent", 61, n, n), "48.5%": ("Percent", 48.5, n, n), "9:05": ("Clock", 545, n, n), "103:59": ("Clock", 6239, n, n), "9:5": ("Text", n, n, n), "7/3": ("Ratio", 7, 3, n), "12 / 0 0%": ("Ratio", 12, 0, n), "4/2 50.5%": ("Text", n, n, n),
+        "1/2/3": ("Triple", 1, 2, 3), "9 / 8 / 7": ("Triple", 9, 8, 7), "5 25%": ("CountShare", 5, 25, n), "01:30 12%": ("ClockShare", 90, 12, n), "6—2": ("Pair", 6, 2, n), "0 - 0": ("Pair", 0, 0, n), "- 5": ("Text", n, n, n), "n": ("Text", n, n, n), "n/n": ("Text", n, n, n), "3 of 4": ("Text", n, n, n),
+    }
+    got = spark.createDataFrame([(c,) for c in want], "s string").select("s", text.cell(F.col("s")).alias("c")).collect()
+    assert {r["s"]: tuple(r["c"]) for r in got} == want
+
+
+def test_names_and_times(spark):
+    t = spark.createDataFrame([("77",), ("9.5",), ("0.004",), ("-12",), ("-3.25",), ("6.0004",), ("x",), ("1.",)], "s string").select(text.video_ms(F.col("s")).alias("v")).collect()
+    assert [r["v"] for r in t] == [77000, 9500, 4, -12000, -3250, None, None, None]
+    r = spark.createDataFrame([("stone   Ada may", "a/notes.csv")], "n string, f string").select(text.name_key(F.col("n")), text.display_name(F.col("n")), text.surname(F.col("n")), text.title_parts(F.col("f"))["team_a"]).first()
+    assert tuple(r) == ("ADA MAY STONE", "MAY STONE ADA", "STONE", None)
 
 
 def test_zones(spark):
-    points = [(10, 0), (25, 5), (10, -25), (10, 25), (50, 0), (50, -30)]
-    df = spark.createDataFrame([(89.0 - o, float(a)) for o, a in points], "along double, across double")
-    got = [r[0] for r in df.select(rink.shot_zone(F.col("along"), F.col("across"))).collect()]
-    assert got == ["Slot", "Center", "LeftFlank", "RightFlank", "BlueLineCenter", "BlueLineLeft"]
+    points = {(17.5, 15.0): "Slot", (17.5, -15.6): "Center", (18.0, 1.0): "Center", (36.9, 34.1): "RightFlank", (36.9, -34.1): "LeftFlank", (37.0, 15.9): "BlueLineCenter", (37.0, 16.0): "BlueLineRight", (60.0, -16.0): "BlueLineLeft", (-2.0, 3.0): "RightFlank"}
+    df = spark.createDataFrame([(89.0 - o, a, z) for (o, a), z in points.items()], "along double, across double, z string")
+    assert all(r[0] == r[1] for r in df.select(rink.shot_zone(F.col("along"), F.col("across")), "z").collect())
