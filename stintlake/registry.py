@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stintlake.plans import comparisons, details, models, rink_game, season, significance, timeline
+from stintlake.plans import comparisons, details, documents, fits, models, ratings, rink_game, season, significance, timeline
 
-MODULES = (timeline, season, comparisons, models, rink_game, details, significance)
+MODULES = (timeline, season, comparisons, models, rink_game, details, significance, documents, ratings, fits)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
