@@ -15,9 +15,11 @@ from stintlake.functions import special as S
 from stintlake.functions.stint_model import impact
 from stintlake.plans.adapter import actions, table
 from stintlake.plans.season import daily, ice_time
+from stintlake.plans.timeline import ORACLES as TIMELINE_SQL
 from stintlake.plans.timeline import pass_matrix, stint_sets
 
 QUERIES, ORACLES = {}, {}
+PASSES = TIMELINE_SQL["pass_matrix"]
 
 
 def query(f):
@@ -76,7 +78,14 @@ def pass_edges(spark, sf_dir) -> DataFrame:
 @query
 def pagerank(spark, sf_dir):
     """PageRank of the pass network."""
-    return N.pagerank(pass_edges(spark, sf_dir))
+    return N.pagerank(pass_edges(spark, sf_dir)).select("node", F.round("rank", 9).alias("rank"))
+
+
+ORACLES["pagerank"] = f"""WITH RECURSIVE p AS (SELECT player AS src, receiver AS dst, passes::DOUBLE AS w FROM ({PASSES}) x), nd AS (SELECT k, row_number() OVER (ORDER BY k) AS i FROM (SELECT src AS k FROM p UNION SELECT dst FROM p)), nn AS (SELECT count(*)::DOUBLE AS n FROM nd),
+o AS (SELECT src, sum(w) AS t FROM p WHERE src <> dst AND w > 0 GROUP BY src), c AS (SELECT b.i AS j, list(coalesce(p.w / o.t, 0) ORDER BY a.i) AS col FROM nd a CROSS JOIN nd b LEFT JOIN p ON p.src = a.k AND p.dst = b.k AND a.k <> b.k LEFT JOIN o ON o.src = a.k GROUP BY b.i),
+m AS (SELECT list(col ORDER BY j) AS m FROM c), d AS (SELECT list(CASE WHEN o.t IS NULL THEN 1.0::DOUBLE ELSE 0 END ORDER BY i) AS d FROM nd LEFT JOIN o ON o.src = nd.k),
+it AS (SELECT 0 AS step, (SELECT list(1 / n) FROM nd, nn) AS r UNION ALL SELECT step + 1, list_transform(m, lambda col: 0.15 / n + 0.85 * (list_dot_product(col, r) + list_dot_product(d, r) / n)) FROM it, m, d, nn WHERE step < 200)
+SELECT k AS node, round(r[i], 9) AS rank FROM it, nd WHERE step = 200"""
 
 
 def kind_changes(spark, sf_dir) -> DataFrame:
@@ -92,7 +101,8 @@ def kind_changes(spark, sf_dir) -> DataFrame:
 @query
 def ipf(spark, sf_dir):
     """Expected passes without preference between the kinds of action that follow one another."""
-    return N.quasi_independence(kind_changes(spark, sf_dir))
+    x = N.quasi_independence(kind_changes(spark, sf_dir), cut=2)
+    return x.select("src", "dst", "n", F.round("expected", 5).alias("expected"))
 
 
 @query

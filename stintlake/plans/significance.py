@@ -311,6 +311,9 @@ def change_lifts(spark, sf_dir):
     return x.select("src", "dst", "n", F.round("expected", 5).alias("expected"), F.round(F.col("n") / F.nullif(F.col("expected"), F.lit(0.0)), 5).alias("lift"))
 
 
+ORACLES["ipf"] = f"WITH RECURSIVE {SQL}, {CHANGES} SELECT src, dst, CAST(n AS BIGINT) AS n, round(expected, 5) AS expected FROM fi"
+
+
 @query(f"RECURSIVE, {CHANGES}, gq AS (SELECT 2 * sum(CASE WHEN n > 0 THEN n * ln(n / expected) ELSE 0 END) AS g2, (5 - 1) ** 2 - 5 AS df FROM fi) SELECT round(g2, 5) AS g2, CAST(df AS BIGINT) AS df FROM gq")
 def quasi_independence_test(spark, sf_dir):
     """The likelihood ratio of the observed changes against no preference off the diagonal: (n - 1)^2 - n degrees of freedom. Fewer
