@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from stintlake.llm.common import table
+from stintlake.llm.common import released, table
 from stintlake.llm.kept import Kept, held
 
 #: White space as Unicode defines it (fixed values).
@@ -175,7 +175,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, digests: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern)
-        for batch in batches:
+        for batch in released(batches):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = [enc.encode(text or "") for text in part.column(1).to_pylist()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Bytes that a generation of a map may take, and the length of the longest key that is kept.
-BYTES, LONGEST = 40 << 20, 64
+BYTES, LONGEST = 32 << 20, 64
 #: What an entry takes, and what a character of its key adds (with the value, that grows with it).
 ENTRY, CHARACTER = 150, 6
 

@@ -9,6 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from stintlake.llm.common import released
 
 BITS = 20
 U64 = np.uint64
@@ -78,7 +81,7 @@ def fit(sample: DataFrame, train: Callable[[list[str], list[int]], np.ndarray])
     """The weights (float32) that ``train`` finds on the bounded sample, in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((xxhash.xxh64_intdigest(str(i)), i, y, t or "") for b in batches for i, y, t in zip(*(c.to_pylist() for c in b.columns)))
+        rows = sorted((xxhash.xxh64_intdigest(str(i)), i, y, t or "") for b in released(batches) for i, y, t in zip(*(c.to_pylist() for c in b.columns)))
         w = train([r[3] for r in rows], [r[2] for r in rows])
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32).tobytes()]), pa.array([w[at].astype(np.float32).tobytes()])], names=["at", "w"])
@@ -90,19 +93,31 @@ def fit(sample: DataFrame, train: Callable[[list[str], list[int]], np.ndarray])
     return w
 
 
-def score(docs: DataFrame, weights: np.ndarray, logit: Callable[[str, np.ndarray], float], held_out: Column, cut: float, keep: list[str] = ()) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row (and the columns ``keep``), from its whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2 ** BITS numbers whatever the corpus
+def scored(rows: DataFrame, weights: np.ndarray, scorer: Callable[[np.ndarray], Callable[[str], float]]) -> DataFrame:
+    """``row, score`` from ``row, text``, of every whole text; ``row`` is any struct and passes through.
+
+    scorer makes, in each task, the function from a text to its log-odds; what that function remembers goes with the task.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(weights)  # 2 ** BITS numbers whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
-        for batch in batches:
+        logit = scorer(shared.value)
+        for batch in released(batches):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                z = np.array([logit(text or "", w) for text in part.column("_text").to_pylist()])
-                kept = part.drop_columns(["_text"])
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sigmoid(z))], names=[*kept.schema.names, "score"])
+                z = np.array([logit(text or "") for text in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigmoid(z))], names=["row", "score"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+
+
+def score(docs: DataFrame, weights: np.ndarray, scorer: Callable[[np.ndarray], Callable[[str], float]], held_out: Column, cut: float) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every row of docs; its other columns aren't looked at."""
+    rows = docs.select(F.struct(docs["doc_id"].cast("long").alias("doc_id"), held_out.alias("held_out")).alias("row"), docs["text"].cast("string").alias("text"))
+    return scored(rows, weights, scorer).select("row.doc_id", "row.held_out", "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
 
-    rows = docs.select(*[docs[c] for c in keep], docs["doc_id"].cast("long").alias("_id"), docs["text"].cast("string").alias("_text"), held_out.alias("_out"))
-    done = rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text") + ", score double")
-    return done.select(*keep, F.col("_id").alias("doc_id") if "doc_id" not in keep else F.col("_id"), F.col("_out").alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+def keep_predicted(docs: DataFrame, weights: np.ndarray, scorer: Callable[[np.ndarray], Callable[[str], float]], cut: float, predicted: int) -> DataFrame:
+    """The rows of docs with the prediction ``predicted``, with all their columns whatever their names."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
+    return scored(rows, weights, scorer).filter((F.col("score") >= cut).cast("int") == predicted).select("row.*")

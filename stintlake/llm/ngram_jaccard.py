@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintlake.llm.common import table
+from stintlake.llm.common import released, table
 from stintlake.llm.graph import components
 from stintlake.session import written
 
@@ -95,7 +95,7 @@ def profile(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id, text_key, n, node, other`` of each document; other: the second hash of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = [shingles(text, words) for text in part.column(2).to_pylist()]
@@ -118,7 +118,7 @@ def prefixes(docs: DataFrame, words: int, percent: int, extra: int, clashing: fr
     """``node, tokens`` of each document with shingles; tokens: its smallest hashes, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for at in range(0, batch.num_rows, 2048):
                 sets = [s for text in batch.column(0).slice(at, 2048).to_pylist() if len(s := shingles(text, words))]
                 heads = [s[: len(s) - needed(len(s), percent) + max(1, len(s) // extra)] for s in sets]
@@ -142,7 +142,7 @@ def shared_counts(sets: DataFrame, buckets: int) -> DataFrame:
     parts = max(1, buckets // 8)  # counts are far fewer than tokens
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             heads = [np.frombuffer(b, U64) for b in batch.column(1).to_pylist()]
             nodes = np.repeat(batch.column(0).to_numpy(), [len(h) for h in heads])
             tokens = np.concatenate(heads) if heads else np.empty(0, U64)
@@ -163,6 +163,7 @@ def shared_counts(sets: DataFrame, buckets: int) -> DataFrame:
         node, shared = summed(all_nodes, np.concatenate([np.ones(many.sum(), np.int64), counts]))
         part = node.view(U64) % U64(parts)
         columns = [_binary(split(part, parts, v)) for v in (node, shared)]
+        pa.default_memory_pool().release_unused()
         return pa.table([pa.array(np.arange(parts), pa.int32()), *columns], names=["part", "nodes", "counts"])
 
     def add(group: pa.Table) -> pa.Table:
@@ -208,7 +209,7 @@ def token_sets(docs: DataFrame, picked: DataFrame, words: int, broadcast_rows: i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _binary([shingles(text, words) for text in part.column(2).to_pylist()])], names=["node", "n", "tokens"])
@@ -225,7 +226,7 @@ def as_arrays(sets: DataFrame) -> DataFrame:
     """The packed tokens as arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 arrays = [np.frombuffer(b, np.int64) for b in part.column(2).to_pylist()]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from stintlake.llm.common import table
+from stintlake.llm.common import released, table
 from stintlake.llm.word_bpe import word_bpe
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -129,7 +129,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = word_bpe(tokenizer_path).encoder().encode, Packer(capacity, TaskContext.get().partitionId())
-        for batch in batches:
+        for batch in released(batches):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):

@@ -14,6 +14,7 @@ are; without labels every score is 0.5.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stintlake.llm.common import table
+from stintlake.llm.kept import Kept, held
 from stintlake.llm.linear import Ftrl, base_rate, fit, labelled, ngrams, score, sigmoid, slots, word_hashes
 
 TRAIN_ROWS, CUT = 4000, 0.7
@@ -28,43 +30,39 @@ LOWER, UPPER, DIGITS = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile("[A-ZÀ
 SAME = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
-class Shapes(dict):
-    """Word to the hash of its shape; forgets all when it holds too many."""
+def shape_of(word: str) -> int:
+    """The hash of a word's shape."""
+    return xxhash.xxh64_intdigest(DIGITS.sub("0", UPPER.sub("A", LOWER.sub("a", word))))
 
-    def __missing__(self, word: str) -> int:
-        shape = DIGITS.sub("0", UPPER.sub("A", LOWER.sub("a", word)))
-        if len(self) >= 400_000:
-            self.clear()
-        out = xxhash.xxh64_intdigest(shape)
-        if len(word) <= 64:
-            self[word] = out
-        return out
 
-
-SHAPES = Shapes()
-
-
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct feature numbers and values; number 0 is left for the bias."""
+def features(text: str, shapes: Kept) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct feature numbers and values; number 0 is left for the bias. shapes: word to the hash of its shape."""
     words = text.split()
     if not words:
         return np.empty(0, np.int64), np.empty(0)
     h = word_hashes(words)
-    shape = np.fromiter(map(SHAPES.__getitem__, words), np.uint64, len(words))
+    shape = np.fromiter(map(shapes.__getitem__, words), np.uint64, len(words))
     shape[1:][h[1:] == h[:-1]] = SAME
     both = np.concatenate([ngrams(h, 1, 1), ngrams(h, 2, 2), ngrams(shape, 1, 3), ngrams(shape, 2, 4), ngrams(shape, 3, 5)])
     at, counts = np.unique(slots(both), return_counts=True)
     return np.maximum(at, 1), np.sqrt(counts / len(words))
 
 
-def logit(text: str, w: np.ndarray) -> float:
-    at, x = features(text)
-    return float(w[0] + w[at] @ x)
+def scorer(w: np.ndarray) -> Callable[[str], float]:
+    """A task's function from a text to its log-odds."""
+    shapes = held("shapes", lambda: Kept(shape_of))
+
+    def logit(text: str) -> float:
+        at, x = features(text, shapes)
+        return float(w[0] + w[at] @ x)
+
+    return logit
 
 
 def train(texts: list[str], labels: list[int], epochs: int = 4, alpha: float = 0.3, l1: float = 0.3, l2: float = 0.1) -> np.ndarray:
     model = Ftrl(alpha, 1.0, l1, l2)
-    rows, bias = [(*features(t), y) for t, y in zip(texts, labels)], base_rate(labels)
+    shapes, bias = Kept(shape_of), base_rate(labels)
+    rows = [(*features(t, shapes), y) for t, y in zip(texts, labels)]
     for _ in range(epochs):
         for at, x, y in rows:
             w = model.weights(at)
@@ -86,4 +84,4 @@ def model(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> n
 def op2_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, model(docs, table(spark, sf_dir, "labels")), logit, held_out(), CUT)
+    return score(docs, model(docs, table(spark, sf_dir, "labels")), scorer, held_out(), CUT)

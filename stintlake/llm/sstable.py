@@ -36,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stintlake.llm.common import table
+from stintlake.llm.common import released, table
 from stintlake.llm.word_bpe import word_bpe
 from stintlake.session import new_path, written
 
@@ -208,7 +208,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str)
         bpe, writer = word_bpe(tokenizer_path), None
         width, encode, doc_id = bpe.width, bpe.encoder(bpe.width).encode, None
         end = end_id.to_bytes(width, "little")
-        for batch in batches:
+        for batch in released(batches):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 for doc_id, text, order in zip(*(c.to_pylist() for c in part.columns)):
@@ -243,7 +243,7 @@ def lookup(shards: DataFrame, wanted: DataFrame) -> DataFrame:
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = shared.value
         firsts, lasts = [f[0] for f in files], [f[1] for f in files]
-        for batch in batches:
+        for batch in released(batches):
             found = []
             for doc_id in batch.column(0).to_pylist():
                 n = bisect_left(lasts, doc_id)  # a repeated id can span shards
@@ -266,7 +266,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document in the shards, one task a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = []
                 for doc_id, ids in open_shard(path):

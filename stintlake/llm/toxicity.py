@@ -14,6 +14,7 @@ are; without labels every score is 0.5.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +24,7 @@ from stintlake.llm.common import table
 from stintlake.llm.linear import Ftrl, base_rate, fit, labelled, ngrams, score, sigmoid, slots, word_hashes
 
 TRAIN_ROWS, CUT = 6000, 0.5
-#: Terms of each list are swapped for one another.
+#: Terms of each list are swapped for one another: English, German, French, Spanish.
 IDENTITIES = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
@@ -33,8 +34,27 @@ IDENTITIES = (
     ("immigrant", "refugee", "foreigner", "native", "citizen"),
     ("immigrants", "refugees", "foreigners", "natives", "citizens"),
     ("deaf", "blind", "disabled", "autistic"), ("old", "young", "elderly"),
+    ("muslimisch", "christlich", "jüdisch", "hinduistisch", "buddhistisch"), ("muslime", "christen", "juden", "hindus", "buddhisten"),
+    ("schwarze", "weiße", "asiatische", "afrikanische", "europäische"), ("schwul", "lesbisch", "bisexuell", "hetero"),
+    ("frau", "mann"), ("frauen", "männer"), ("mädchen", "junge"), ("weiblich", "männlich"), ("sie", "er"),
+    ("einwanderer", "flüchtling", "ausländer", "einheimischer"), ("gehörlos", "blind", "behindert"), ("alte", "junge"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste"), ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes"),
+    ("noir", "blanc", "asiatique", "africain", "européen"), ("gay", "lesbienne", "bisexuel", "hétéro"),
+    ("femme", "homme"), ("femmes", "hommes"), ("fille", "garçon"), ("féminin", "masculin"), ("elle", "il"),
+    ("immigré", "réfugié", "étranger", "citoyen"), ("sourd", "aveugle", "handicapé"), ("vieux", "jeune"),
+    ("musulmán", "cristiano", "judío", "hindú", "budista"), ("musulmanes", "cristianos", "judíos", "hindúes", "budistas"),
+    ("negro", "blanco", "asiático", "africano", "europeo"), ("lesbiana", "bisexual", "heterosexual"),
+    ("mujer", "hombre"), ("mujeres", "hombres"), ("niña", "niño"), ("femenino", "masculino"), ("ella", "él"),
+    ("inmigrante", "refugiado", "extranjero", "ciudadano"), ("sordo", "ciego", "discapacitado"), ("viejo", "joven"),
 )
-GROUP_OF = {term: group for group in IDENTITIES for term in group}
+
+
+def group_map(identities: tuple[tuple[str, ...], ...]) -> dict[str, tuple[str, ...]]:
+    """Term to its list; a term of several lists belongs to the first."""
+    return {term: group for group in reversed(identities) for term in group}
+
+
+GROUP_OF = group_map(IDENTITIES)
 WORDS, SENTENCES = re.compile(r"[^\W_]+"), re.compile(r"[.!?\n]+")
 
 
@@ -49,23 +69,28 @@ def logit(text: str, w: np.ndarray) -> float:
     return float(w[0] + w[presence(WORDS.findall(text.lower()))].sum(dtype=np.float64))
 
 
-def swapped(words: list[str], turn: int) -> list[str] | None:
+def scorer(w: np.ndarray) -> Callable[[str], float]:
+    """A task's function from a text to its log-odds."""
+    return lambda text: logit(text, w)
+
+
+def swapped(words: list[str], turn: int, group_of: dict[str, tuple[str, ...]] = GROUP_OF) -> list[str] | None:
     """The words with each group term replaced by the one ``turn`` places on, None without any."""
     out, found = list(words), False
     for i, w in enumerate(words):
-        if group := GROUP_OF.get(w):
+        if group := group_of.get(w):
             out[i] = group[(group.index(w) + turn) % len(group)]
             found |= out[i] != w
     return out if found else None
 
 
-def counterfactuals(text: str, turns: tuple[int, ...] = (1, 2)) -> list[tuple[np.ndarray, np.ndarray]]:
+def counterfactuals(text: str, turns: tuple[int, ...] = (1, 2), group_of: dict[str, tuple[str, ...]] = GROUP_OF) -> list[tuple[np.ndarray, np.ndarray]]:
     """Feature numbers and signs by which a text's score changes when the terms of its sentences are swapped."""
     out = []
     for sentence in SENTENCES.split(text.lower()):
         words = WORDS.findall(sentence)
-        for turn in turns if any(w in GROUP_OF for w in words) else ():
-            if other := swapped(words, turn):
+        for turn in turns if any(w in group_of for w in words) else ():
+            if other := swapped(words, turn, group_of):
                 a, b = presence(words), presence(other)
                 gone, new = np.setdiff1d(a, b), np.setdiff1d(b, a)
                 if len(gone) + len(new):
@@ -73,9 +98,10 @@ def counterfactuals(text: str, turns: tuple[int, ...] = (1, 2)) -> list[tuple[np
     return out
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 6, alpha: float = 2.0, l1: float = 10.0, l2: float = 0.02, fairness: float = 1.0) -> np.ndarray:
-    model = Ftrl(alpha, 1.0, l1, l2)
-    rows = [(presence(WORDS.findall(t.lower())), y, counterfactuals(t)) for t, y in zip(texts, labels)]
+def train(texts: list[str], labels: list[int], epochs: int = 6, alpha: float = 2.0, l1: float = 10.0, l2: float = 0.02, fairness: float = 1.0, identities: tuple[tuple[str, ...], ...] = IDENTITIES) -> np.ndarray:
+    """Weights; fairness: the weight of the squared score change; identities: lists of terms that are swapped."""
+    model, group_of = Ftrl(alpha, 1.0, l1, l2), group_map(identities)
+    rows = [(presence(WORDS.findall(t.lower())), y, counterfactuals(t, group_of=group_of)) for t, y in zip(texts, labels)]
     bias = base_rate(labels)
     for _ in range(epochs):
         for at, y, changes in rows:
@@ -101,4 +127,4 @@ def model(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> n
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, model(docs, table(spark, sf_dir, "labels")), logit, held_out(), CUT)
+    return score(docs, model(docs, table(spark, sf_dir, "labels")), scorer, held_out(), CUT)
