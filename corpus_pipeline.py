@@ -6,51 +6,57 @@ read again as the next one's docs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stintlake.llm import ngram_jaccard, packing, quality, toxicity
 from stintlake.llm.common import table
-from stintlake.llm.linear import score
+from stintlake.llm.linear import keep_predicted
 from stintlake.session import ship_package, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts to be good."""
+    """Documents that the quality classifier predicts to be good.
+
+    Null and empty texts are judged by the bias alone; repeated rows, null ids and columns of any name pass as they are; an
+    empty table stays empty. The model is fitted on the labelled rows of sf_dir.
+    """
     ship_package(spark)
     weights = quality.model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return filtered(docs, weights, quality.logit, quality.CUT, 1)
+    return keep_predicted(docs, weights, quality.scorer, quality.CUT, 1)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier doesn't predict to be toxic."""
+    """Documents that the toxicity classifier doesn't predict to be toxic; odd rows as in the stage before."""
     ship_package(spark)
     weights = toxicity.model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return filtered(docs, weights, toxicity.logit, toxicity.CUT, 0)
-
-
-def filtered(docs: DataFrame, weights, logit, cut: float, keep: int) -> DataFrame:
-    """The rows of docs with the prediction ``keep``."""
-    columns = docs.columns
-    return score(docs, weights, logit, F.lit(False), cut, keep=columns).filter(F.col("predicted") == keep).select(*columns)
+    return keep_predicted(docs, weights, toxicity.scorer, toxicity.CUT, 0)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: that with the smallest id (of equal ids, the smallest text hash)."""
+    """One document of each class of near duplicates: that with the smallest id (of equal ids, the smallest text hash).
+
+    Of rows with one id and text, one stays. Null ids come last. Documents without words all stay. Columns of any name pass
+    as they are; an empty table stays empty.
+    """
     ship_package(spark)
-    found = written(ngram_jaccard.classes(docs.select("doc_id", "text"), with_key=True), "classes")
-    first = found.filter("n_shingles > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
-    gone = found.join(first, "class").filter(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key") > F.col("first")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    same_row = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
-    left = docs.join(gone, same_row, "left_anti")
-    twice = found.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).count().filter("count > 1").drop("count")
+    found = written(ngram_jaccard.classes(docs.select("doc_id", "text"), with_key=True), "classes").filter("n_shingles > 0")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    first = found.groupBy("class").agg(F.min(place).alias("first"))
+    gone = found.join(first, "class").filter(place > F.col("first")).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"].cast("string")).alias("key"))
+    same = [F.col("x.id").eqNullSafe(F.col("y.id")) & (F.col("x.key") == F.col("y.key"))]
+    left = rows.alias("x").join(gone.alias("y"), same, "left_anti")
+    twice = found.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).count().filter("count > 1").drop("count")
     if twice.isEmpty():
-        return left
-    return left.join(twice, same_row, "left_anti").unionByName(left.join(twice, same_row, "left_semi").dropDuplicates(["doc_id", "text"]))
+        return left.select("row.*")
+    copy = Window.partitionBy("id", "key").orderBy(F.lit(0))
+    one = left.alias("x").join(twice.alias("y"), same, "left_semi").withColumn("copy", F.row_number().over(copy)).filter("copy = 1")
+    return left.alias("x").join(twice.alias("y"), same, "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are left, packed into sequences of at most 2048 tokens."""
+    """The documents that are left, packed into sequences of at most 2048 tokens; a null text counts as empty."""
     import public_tokenizers
 
     ship_package(spark)

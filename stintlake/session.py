@@ -28,10 +28,14 @@ def build_session(app: str = "stintlake", master: str | None = None, shuffle_par
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    A session that names none (local tests) gets a temporary folder, which is then recorded in the session.
+    A local session that names none (tests) gets a temporary folder, which is then recorded in the session; on a cluster, where
+    such a folder is not shared, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="stintlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -51,8 +55,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that goes to a Python task, where the session leaves Spark's own 64 MB: long texts come in any number.
+BATCH_BYTES, BATCH_SETTING = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors (once a session), so that Python tasks can import it wherever they run."""
+    """Send this package to the executors (once a session), so that Python tasks can import it wherever they run, and keep the
+    batches that these tasks get small, unless the session sets their size itself."""
+    if spark.conf.get(BATCH_SETTING, "67108864b") == "67108864b":
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_stintlake_shipped", False):
         return
