@@ -24,7 +24,8 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-PREFIX_DIGITS = 8
+#: Hexadecimal digits of the short hashes; rules (of about 200 bytes) that go to all tasks.
+PREFIX_DIGITS, BROADCAST_RULES = 8, 50_000
 
 
 def host_of(url: str) -> Column:
@@ -51,16 +52,20 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
     known = rules.select(F.concat("host", "path").alias("rule"), F.length("host").alias("host_len"), "verdict")
     known = known.withColumn("digest", F.sha2(F.concat_ws("\n", F.lit("rule"), "rule"), 256)).withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
+    if known.count() <= BROADCAST_RULES:
+        known = F.broadcast(known)
     rows = pages.select("page_id", host_of("url").alias("host"), path_of("url").alias("path")).withColumn("_row", F.monotonically_increasing_id())
     starts = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
     fits = F.filter(starts, lambda n: n <= F.length("path"))
     expressions = F.flatten(F.transform(host_suffixes(F.col("host")), lambda h: F.transform(fits, lambda n: F.concat(h, F.col("path").substr(F.lit(1), n)))))
-    probes = rows.select("_row", F.explode(expressions).alias("expression")).withColumn("digest", F.sha2(F.concat_ws("\n", F.lit("rule"), "expression"), 256))
-    probes = probes.select("_row", "digest", F.substring("digest", 1, PREFIX_DIGITS).alias("short"))
-    hits = probes.join(known, "short").filter(probes["digest"] == known["digest"])
-    order = F.struct(F.length("rule"), "host_len", F.col("verdict") == "block", "rule", "verdict")
-    best = hits.groupBy("_row").agg(F.max(order).alias("best"))
-    return rows.join(best, "_row", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    # a row without an expression keeps each url; of the others, only those that hit a rule go on
+    probes = rows.select("*", F.explode(F.concat(F.array(F.lit(None).cast("string")), expressions)).alias("expression"))
+    probes = probes.withColumn("full", F.when(F.col("expression").isNotNull(), F.sha2(F.concat_ws("\n", F.lit("rule"), "expression"), 256)))
+    short = F.substring("full", 1, PREFIX_DIGITS)
+    hits = probes.join(known, (short == known["short"]) & (F.col("full") == known["digest"]), "left").filter(F.col("expression").isNull() | F.col("rule").isNotNull())
+    order = F.when(F.col("rule").isNotNull(), F.struct(F.length("rule"), "host_len", F.col("verdict") == "block", "rule", "verdict"))
+    judged = hits.groupBy("_row").agg(*[F.first(c).alias(c) for c in ("page_id", "host", "path")], F.max(order).alias("best"))
+    return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
