@@ -60,7 +60,8 @@ def ols_fit(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")
     f = R.ols(l, [F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")], F.col("l_extendedprice"))
     rows = [(n, float(b), float(s), float(t), S.t_two_sided(float(t), float(f["df"]))) for n, b, s, t in zip(("intercept", "quantity", "discount", "tax"), f["beta"], f["se"], f["t"])]
-    return spark.createDataFrame(rows, "term string, estimate double, se double, t double, p double")
+    out = spark.createDataFrame(rows, "term string, estimate double, se double, t double, p double")
+    return out.select("term", *[F.round(c, 4).alias(c) for c in ("estimate", "se", "t")], F.round("p", 7).alias("p"))
 
 
 @query

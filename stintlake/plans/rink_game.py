@@ -171,12 +171,12 @@ def unit_seasons(spark, sf_dir):
     return u.select("team", "kind", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), "games", F.round("seconds", 3).alias("seconds"), *SUMS, F.round(share, 6).alias("share"), (F.col("seconds") < 600).alias("small_sample"))
 
 
-@query(f""", {UNITS}, pr AS (SELECT DISTINCT x.team, x.p AS a, y.p AS b FROM (SELECT team, unnest(m) AS p, array_to_string(m, ',') AS mm, kind FROM u2 WHERE kind = 'FullUnit') x JOIN (SELECT team, unnest(m) AS p, array_to_string(m, ',') AS mm, kind FROM u2 WHERE kind = 'FullUnit') y ON x.team = y.team AND x.mm = y.mm AND x.p < y.p)
-SELECT pr.team, a, b, round(sum(seconds), 3) AS seconds, CAST(sum(corsi_for) AS BIGINT) AS corsi_for, CAST(sum(corsi_against) AS BIGINT) AS corsi_against FROM pr JOIN un ON un.team = pr.team AND kind = 'FullUnit' AND list_contains(string_split(members, ','), CAST(a AS VARCHAR)) AND list_contains(string_split(members, ','), CAST(b AS VARCHAR)) GROUP BY pr.team, a, b""")
+@query(f""", {UNITS}, pr AS (SELECT DISTINCT x.team, x.p AS a, y.p AS b FROM (SELECT team, unnest(m) AS p, array_to_string(m, ',') AS mm, kind FROM u2 WHERE kind IN ('DefencePair', 'ForwardLine')) x JOIN (SELECT team, unnest(m) AS p, array_to_string(m, ',') AS mm, kind FROM u2 WHERE kind IN ('DefencePair', 'ForwardLine')) y ON x.team = y.team AND x.mm = y.mm AND x.p < y.p)
+SELECT pr.team, a, b, round(sum(seconds), 3) AS seconds, CAST(sum(corsi_for) AS BIGINT) AS corsi_for, CAST(sum(corsi_against) AS BIGINT) AS corsi_against FROM pr JOIN un ON un.team = pr.team AND kind IN ('DefencePair', 'ForwardLine') AND list_contains(string_split(members, ','), CAST(a AS VARCHAR)) AND list_contains(string_split(members, ','), CAST(b AS VARCHAR)) GROUP BY pr.team, a, b""")
 def pair_in_units(spark, sf_dir):
-    """Attempts of two players in all full units that hold both: each unit gives its own pairs, no pair meets all units."""
+    """Attempts of two players in all pairs and lines that hold both: each unit gives its own pairs, no pair meets all units."""
     rows = rebuilt(spark, sf_dir)
-    u = G.units(rows, defenders(rows)).filter("kind = 'FullUnit'")
+    u = G.units(rows, defenders(rows)).filter("kind in ('DefencePair', 'ForwardLine')")
     pairs = F.flatten(F.transform("members", lambda a: F.transform(F.filter("members", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     return u.select("team", F.explode(pairs).alias("p"), "seconds", "corsi_for", "corsi_against").groupBy("team", "p.a", "p.b").agg(F.round(F.sum("seconds"), 3).alias("seconds"), F.sum("corsi_for").alias("corsi_for"), F.sum("corsi_against").alias("corsi_against"))
 

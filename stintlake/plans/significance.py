@@ -311,6 +311,13 @@ def change_lifts(spark, sf_dir):
     return x.select("src", "dst", "n", F.round("expected", 5).alias("expected"), F.round(F.col("n") / F.nullif(F.col("expected"), F.lit(0.0)), 5).alias("lift"))
 
 
+#: Least squares on three columns by the inverse of their centred products.
+ORACLES["ols_fit"] = f"""WITH r AS (SELECT l_quantity AS a, l_discount AS b, l_tax AS c, l_extendedprice AS y FROM lineitem), m AS (SELECT count(*)::DOUBLE AS n, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my FROM r),
+s AS (SELECT sum((a - ma) * (a - ma)) AS aa, sum((b - mb) * (b - mb)) AS bb, sum((c - mc) * (c - mc)) AS cc, sum((a - ma) * (b - mb)) AS ab, sum((a - ma) * (c - mc)) AS ac, sum((b - mb) * (c - mc)) AS bc, sum((a - ma) * (y - my)) AS ay, sum((b - mb) * (y - my)) AS "by", sum((c - mc) * (y - my)) AS cy, sum((y - my) * (y - my)) AS yy FROM r, m),
+d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM s), i AS (SELECT *, (bb * cc - bc * bc) / det AS iaa, (aa * cc - ac * ac) / det AS ibb, (aa * bb - ab * ab) / det AS icc, (ac * bc - ab * cc) / det AS iab, (ab * bc - ac * bb) / det AS iac, (ab * ac - aa * bc) / det AS ibc FROM d),
+e AS (SELECT *, iaa * ay + iab * "by" + iac * cy AS ba, iab * ay + ibb * "by" + ibc * cy AS bb2, iac * ay + ibc * "by" + icc * cy AS bc2 FROM i), f AS (SELECT e.*, m.*, (yy - ba * ay - bb2 * "by" - bc2 * cy) / (n - 4) AS s2 FROM e, m),
+t AS (SELECT 'intercept' AS term, my - ba * ma - bb2 * mb - bc2 * mc AS b, sqrt(s2 * (1 / n + ma * ma * iaa + mb * mb * ibb + mc * mc * icc + 2 * (ma * mb * iab + ma * mc * iac + mb * mc * ibc))) AS se, n FROM f UNION ALL SELECT 'quantity', ba, sqrt(s2 * iaa), n FROM f UNION ALL SELECT 'discount', bb2, sqrt(s2 * ibb), n FROM f UNION ALL SELECT 'tax', bc2, sqrt(s2 * icc), n FROM f),
+u AS (SELECT *, b / se AS t, n - 4 AS df FROM t) SELECT term, round(b, 4) AS estimate, round(se, 4) AS se, round(t, 4) AS t, round({t_p_sql('t', 'df')}, 7) AS p FROM u"""
 ORACLES["ipf"] = f"WITH RECURSIVE {SQL}, {CHANGES} SELECT src, dst, CAST(n AS BIGINT) AS n, round(expected, 5) AS expected FROM fi"
 
 
