@@ -304,30 +304,48 @@ class Forest:
         return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, "qkey binary, tree int, node long, part int, leaf long, far double, most double")
 
     def rerank(self, visits: DataFrame, probes: DataFrame, keep: int) -> DataFrame:
-        """``qkey, ckey, first_id, score``: of each node that a query visits, the best members of the visited leaves."""
-        width, kind, by = self.width, np.dtype("<f4" if "float" in self.kind else "<f8"), ["tree", "node", "part", "block"]
-        asked = visits.groupBy("qkey", "tree", "node", "part").agg(F.collect_list("leaf").alias("leaves")).join(probes.select("qkey", "embedding"), "qkey")
+        """``qkey, ckey, first_id, score``: the best members of the leaves that a query visits, ``keep`` of each shard.
+
+        A shard is a range of neighbouring nodes of one tree with about half of ``sample_rows`` rows, so a query sends its vector to
+        few places and gets few candidates back from each.
+        """
+        width, kind, by = self.width, np.dtype("<f4" if "float" in self.kind else "<f8"), ["tree", "shard", "block"]
+        nodes = self.table.filter("leaf is not null").groupBy("tree", "node").agg(F.sum(F.size("keys")).alias("m")).agg(F.avg("m")).first()[0]
+        shard = F.floor(F.col("node") / max(1, int(self.sample_rows / 2 / max(nodes, 1))))
+        asked = visits.withColumn("shard", shard).groupBy("qkey", "tree", "shard").agg(F.collect_list(F.struct("node", "part", "leaf")).alias("leaves")).join(probes.select("qkey", "embedding"), "qkey")
         asked = written(asked, "visits")
-        sizes = asked.groupBy(*by[:3]).agg(F.count("*").alias("m")).select(*by[:3], blocks(F.col("m"), self.sample_rows).alias("n"))
-        left = asked.join(sizes, by[:3]).withColumn("block", spread("qkey", F.col("n"))).drop("n")
-        leaves = self.table.filter("leaf is not null").select(*by[:3], "leaf", "keys", "ids", "vectors")
-        right = leaves.join(sizes, by[:3]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+        sizes = asked.groupBy("tree", "shard").agg(F.count("*").alias("m")).select("tree", "shard", blocks(F.col("m"), self.sample_rows).alias("n"))
+        left = asked.join(sizes, ["tree", "shard"]).withColumn("block", spread("qkey", F.col("n"))).drop("n")
+        leaves = self.table.filter("leaf is not null").select("tree", shard.alias("shard"), "node", "part", "leaf", "keys", "ids", "vectors")
+        right = leaves.join(sizes, ["tree", "shard"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
 
         def run(rows: pa.Table, members: pa.Table) -> pa.Table:
             names, kinds = ["qkey", "ckey", "first_id", "score"], (pa.binary(), pa.binary(), pa.int64(), pa.float64())
-            out = [pa.table([pa.array([], k) for k in kinds], names=names)]
-            if rows.num_rows and members.num_rows:
-                x = matrix(rows["embedding"], width)
-                wanted = rows["leaves"].combine_chunks()
-                flat, owner = wanted.flatten().to_numpy(), np.repeat(np.arange(len(x)), pc.list_value_length(wanted).to_numpy())
-                for i in range(members.num_rows):
+            if not rows.num_rows or not members.num_rows:
+                return pa.table([pa.array([], k) for k in kinds], names=names)
+            x = matrix(rows["embedding"], width).astype(np.float64)
+            wanted = rows["leaves"].combine_chunks()
+            flat, owner = wanted.flatten(), np.repeat(np.arange(len(x)), pc.list_value_length(wanted).to_numpy())
+            who: dict[tuple, list[int]] = {}
+            for *leaf, q in zip(*(flat.field(i).to_pylist() for i in range(3)), owner.tolist()):
+                who.setdefault(tuple(leaf), []).append(q)
+            found, at = [], 0  # queries, rows of all members, scores
+            for i, leaf in enumerate(zip(*(members[c].to_pylist() for c in ("node", "part", "leaf")))):
+                ids = members["ids"][i].values
+                if leaf in who and len(ids):
+                    mine = np.array(who[leaf])
                     c = np.frombuffer(members["vectors"][i].as_py(), kind).reshape(-1, width).astype(np.float64)
-                    mine = owner[flat == members["leaf"][i].as_py()]
-                    ids = members["ids"][i].values
-                    if len(c) and len(mine):
-                        q, m, score = best_members(c, ids.to_numpy(), x[mine].astype(np.float64), keep)
-                        out.append(pa.table([rows["qkey"].take(pa.array(mine[q])), members["keys"][i].values.take(pa.array(m)), ids.take(pa.array(m)), pa.array(score)], names=names))
-            return pa.concat_tables(out)
+                    q, m, score = best_members(c, ids.to_numpy(), x[mine], keep)
+                    found.append((mine[q], m + at, score))
+                at += len(ids)
+            keys, ids = (members[c].combine_chunks().flatten() for c in ("keys", "ids"))
+            if not found:
+                return pa.table([pa.array([], k) for k in kinds], names=names)
+            q, m, score = (np.concatenate([f[k] for f in found]) for k in range(3))
+            order = np.lexsort((ids.to_numpy()[m], -score, q))
+            q, m, score = q[order], m[order], score[order]
+            kept = np.arange(len(q)) - np.searchsorted(q, q) < keep
+            return pa.table([rows["qkey"].take(pa.array(q[kept])), keys.take(pa.array(m[kept])), ids.take(pa.array(m[kept])), pa.array(score[kept])], names=names)
 
         return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, "qkey binary, ckey binary, first_id long, score double")
 
