@@ -100,8 +100,8 @@ LN_TABLE = "(lgamma(r + 1) - lgamma(x + 1) - lgamma(r - x + 1) + lgamma(n - r +
 
 @query(f""", c AS (SELECT action, count(*) FILTER (WHERE team = 0 AND period = 1) AS a, count(*) FILTER (WHERE team = 0 AND period = 3) AS b, count(*) FILTER (WHERE team = 1 AND period = 1) AS c, count(*) FILTER (WHERE team = 1 AND period = 3) AS d FROM act GROUP BY action),
 m AS (SELECT action, a, a + b AS r, a + c AS s, a + b + c + d AS n FROM c), e AS (SELECT m.*, unnest(range(greatest(0, r + s - n), least(r, s) + 1)) AS x FROM m), l AS (SELECT action, a, x, {LN_TABLE} AS ln FROM e),
-o AS (SELECT *, max(CASE WHEN x = a THEN ln END) OVER (PARTITION BY action) AS at, max(ln) OVER (PARTITION BY action) AS top FROM l)
-SELECT action, round(least(1, sum(CASE WHEN ln <= at + 1e-7 THEN exp(ln - top) ELSE 0 END) / sum(exp(ln - top))), 6) AS p FROM o GROUP BY action""")
+o AS (SELECT *, max(CASE WHEN x = a THEN ln END) OVER (PARTITION BY action) AS ref, max(ln) OVER (PARTITION BY action) AS top FROM l)
+SELECT action, round(least(1, sum(CASE WHEN ln <= ref + 1e-7 THEN exp(ln - top) ELSE 0 END) / sum(exp(ln - top))), 6) AS p FROM o GROUP BY action""")
 def fisher_tests(spark, sf_dir):
     """Fisher's exact test of each action's counts in periods 1 and 3 by team."""
     a = actions(spark, sf_dir)

@@ -105,7 +105,7 @@ def goals_saved(spark, sf_dir):
 
 
 @query(""", d AS (SELECT player, game, sum(value) AS v FROM act GROUP BY player, game), lo AS (SELECT * FROM d WHERE game % 4 = 0), hi AS (SELECT player, game, v + 1 AS v FROM d WHERE NOT EXISTS (SELECT 1 FROM lo WHERE lo.player = d.player AND abs(lo.game - d.game) <= 1)), u AS (SELECT *, 'loaded' AS source FROM lo UNION ALL SELECT *, 'history' FROM hi)
-SELECT player, CAST(count(*) AS BIGINT) AS games, CAST(count(*) FILTER (WHERE source = 'history') AS BIGINT) AS history, round(regr_slope(v, game), 5) AS slope FROM u GROUP BY player HAVING count(*) > 1""", SQL)
+SELECT player, CAST(count(*) AS BIGINT) AS games, CAST(count(*) FILTER (WHERE source = 'history') AS BIGINT) AS history, round(regr_slope(v, game - 19700), 3) AS slope FROM u GROUP BY player HAVING count(*) > 1""", SQL)
 def trends(spark, sf_dir):
     """A player's series from loaded games and from a history of others: history within a day of a loaded game is that game."""
     d = actions(spark, sf_dir).groupBy("player", "game").agg(F.sum("value").alias("v"))
@@ -113,4 +113,4 @@ def trends(spark, sf_dir):
     near = loaded.select("player", F.explode(F.array(F.col("game") - 1, F.col("game"), F.col("game") + 1)).alias("game")).distinct()
     history = d.join(near, ["player", "game"], "left_anti").withColumn("v", F.col("v") + 1)
     u = loaded.withColumn("source", F.lit("loaded")).unionByName(history.withColumn("source", F.lit("history")))
-    return u.groupBy("player").agg(F.count("*").alias("games"), F.count_if(F.col("source") == "history").alias("history"), F.round(F.regr_slope("v", "game"), 5).alias("slope")).filter("games > 1")
+    return u.groupBy("player").agg(F.count("*").alias("games"), F.count_if(F.col("source") == "history").alias("history"), F.round(F.regr_slope("v", F.col("game") - 19700), 3).alias("slope")).filter("games > 1")
