@@ -45,7 +45,7 @@ def title_parts(path: Column) -> Column:
     return F.struct(normalise_name(part[0]).alias("team_a"), part[1].cast("int").alias("goals_a"), part[2].cast("int").alias("goals_b"), normalise_name(part[3]).alias("team_b"), F.try_to_date(part[4], "dd.MM.yyyy").alias("day"))
 
 
-#: The forms of a printed cell after its numbers are put as n: kind, and which of the numbers are its parts.
+#: The forms of a printed cell with n for each number: kind, and how many of the numbers are parts besides those read as a whole.
 CELLS = {
     "n": ("Int", 1), "+n": ("Int", 1), "-n": ("Int", 1), "n.n": ("Decimal", 0), "+n.n": ("Decimal", 0), "-n.n": ("Decimal", 0),
     "n%": ("Percent", 0), "+n%": ("Percent", 0), "-n%": ("Percent", 0), "n.n%": ("Percent", 0), "+n.n%": ("Percent", 0), "-n.n%": ("Percent", 0),
@@ -55,10 +55,10 @@ CELLS = {
 
 def cell(x: Column) -> Column:
     """struct(kind, a, b, c) of a printed report cell: empty, whole and decimal numbers, percentages, clocks, ratios, triples,
-    pairs; else text. The cell's skeleton (numbers as n, no spaces around signs) is looked up once; only then are numbers read."""
+    pairs; else text. The cell's skeleton (every number as 0, no spaces around signs) is looked up once; only then are numbers read."""
     t = F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), "[—–]", "-"))
-    skeleton = F.regexp_replace(F.regexp_replace(t, r"\d+", "n"), "(?<=n) ?([/-]) ?(?=n)", "$1")
-    form = F.try_element_at(F.create_map(*[F.lit(v) for k, f in CELLS.items() for v in (k, f[0])]), skeleton)
+    skeleton = F.regexp_replace(F.regexp_replace(t, r"\d+", "0"), "(?<=0) ?([/-]) ?(?=0)", "$1")
+    form = F.try_element_at(F.create_map(*[F.lit(v) for k, f in CELLS.items() for v in (k.replace("n", "0"), f[0])]), skeleton)
     n = F.regexp_extract_all(t, F.lit(r"(\d+)"))
     part = lambda i: F.get(n, F.lit(i)).try_cast("double")
     sign = F.when(t.startswith("-"), -1.0).otherwise(1.0)
