@@ -35,7 +35,7 @@ APART = (
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",
 )
 #: Bytes of the runs, the pieces and the pairs of tokens that a worker keeps, each in two generations.
-RUN_BYTES, PIECE_BYTES, PAIRS = 40 << 20, 20 << 20, 300_000
+RUN_BYTES, PIECE_BYTES, PAIRS = 60 << 20, 50 << 20, 2_000_000
 
 
 class Ranks:
