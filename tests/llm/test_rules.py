@@ -48,7 +48,7 @@ def test_licences(spark):
 def test_queries_equal_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     rel = con.sql(registry.ORACLES[name])
     got = registry.QUERIES[name](spark, sf)
