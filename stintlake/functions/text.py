@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,24 +55,36 @@ CELLS = {
 }
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def cell(x: Column) -> Column:
     """struct(kind, a, b, c) of a printed report cell: empty, whole and decimal numbers, percentages, clocks, ratios, triples,
     pairs; else text. The cell's skeleton (every number as 0, no spaces around signs) is looked up once; only then are numbers read."""
-    t = F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), "[—–]", "-"))
-    skeleton = F.regexp_replace(F.regexp_replace(t, r"\d+", "0"), "(?<=0) ?([/-]) ?(?=0)", "$1")
-    form = F.try_element_at(F.create_map(*[F.lit(v) for k, f in CELLS.items() for v in (k.replace("n", "0"), f[0])]), skeleton)
-    n = F.regexp_extract_all(t, F.lit(r"(\d+)"))
-    part = lambda i: F.get(n, F.lit(i)).try_cast("double")
-    sign = F.when(t.startswith("-"), -1.0).otherwise(1.0)
-    decimal = F.regexp_extract(t, r"^[+-]?(\d+(?:\.\d+)?)", 1).try_cast("double") * sign
-    seconds = F.when(F.length(F.get(n, F.lit(1))) == 2, part(0) * 60 + part(1))
-    kind = F.when((t == "") | (t == "-"), "Empty").when(form.isin("Clock", "ClockShare") & seconds.isNull(), "Text").otherwise(F.coalesce(form, F.lit("Text")))
-    shown = F.struct(kind.alias("kind"), t.alias("t"))
-    k = shown["kind"]
-    a = F.when(k.isin("Decimal", "Percent", "Int"), decimal).when(k.isin("Clock", "ClockShare"), seconds).when(k.isin("Ratio", "Triple", "CountShare", "Pair"), part(0))
-    b = F.when(k.isin("Ratio", "Triple", "CountShare", "Pair"), part(1)).when(k == "ClockShare", part(2))
-    c = F.when(k == "Triple", part(2))
-    return F.struct(k.alias("kind"), a.alias("a"), b.alias("b"), c.alias("c"))
+    forms = F.create_map(*[F.lit(v) for k, f in CELLS.items() for v in (k.replace("n", "0"), f[0])])
+    several = ("Ratio", "Triple", "CountShare", "Pair")
+
+    def read(t: Column) -> Column:
+        skeleton = F.regexp_replace(F.regexp_replace(t, r"\d+", "0"), "(?<=0) ?([/-]) ?(?=0)", "$1")
+        numbers = F.transform(F.regexp_extract_all(t, F.lit(r"(\d+)")), lambda n: n.try_cast("double"))
+        long_minutes = F.regexp_like(t, F.lit(r"^[+-]?\d+:\d\d(?!\d)"))
+        return bound(F.struct(F.try_element_at(forms, skeleton).alias("form"), numbers.alias("n"), long_minutes.alias("clock")), lambda p: typed(t, p))
+
+    def typed(t: Column, p: Column) -> Column:
+        clock = p["form"].isin("Clock", "ClockShare")
+        kind = F.when((t == "") | (t == "-"), "Empty").when(clock & ~p["clock"], "Text").otherwise(F.coalesce(p["form"], F.lit("Text")))
+        return bound(kind, lambda k: valued(t, p["n"], k))
+
+    def valued(t: Column, n: Column, k: Column) -> Column:
+        part = lambda i: F.get(n, F.lit(i))
+        decimal = F.regexp_extract(t, r"^[+-]?(\d+(?:\.\d+)?)", 1).try_cast("double") * F.when(t.startswith("-"), -1.0).otherwise(1.0)
+        a = F.when(k.isin("Decimal", "Percent", "Int"), decimal).when(k.isin("Clock", "ClockShare"), part(0) * 60 + part(1)).when(k.isin(*several), part(0))
+        b = F.when(k.isin(*several), part(1)).when(k == "ClockShare", part(2))
+        return F.struct(k.alias("kind"), a.alias("a"), b.alias("b"), F.when(k == "Triple", part(2)).alias("c"))
+
+    return bound(F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), "[—–]", "-")), read)
 
 
 def cell_number(c: Column) -> Column:

@@ -361,14 +361,12 @@ def season_points_conv(spark, sf_dir):
     return d.select("period", F.round(F.aggregate(F.transform("d", lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x), 5).alias("mean"), F.round(F.col("d")[0], 12).alias("p_zero"))
 
 
-PMF = "q AS (SELECT CAST(unnest(range(0, 31)) AS BIGINT) AS k)"
-
-
-@query(f""", {DUELS}, {PMF}, x AS (SELECT game, period, greatest(gf, 0.5) AS a, greatest(ga, 0.5) AS b FROM o),
+@query(f""", {DUELS}, x AS (SELECT game, period, greatest(gf, 0.5) AS a, greatest(ga, 0.5) AS b FROM o),
+q AS (SELECT CAST(unnest(range(0, (SELECT CAST(ceil(max(greatest(a, b)) + 12 * sqrt(max(greatest(a, b))) + 30) AS BIGINT) + 1 FROM x))) AS BIGINT) AS k),
 pa AS (SELECT game, period, k, exp(k * ln(a) - a - lgamma(k + 1)) AS p FROM x, q), pb AS (SELECT game, period, k, exp(k * ln(b) - b - lgamma(k + 1)) AS p FROM x, q)
 SELECT pa.game, pa.period, round(sum(CASE WHEN pa.k > pb.k THEN pa.p * pb.p ELSE 0 END), 7) AS win, round(sum(CASE WHEN pa.k = pb.k THEN pa.p * pb.p ELSE 0 END), 7) AS tie FROM pa JOIN pb ON pa.game = pb.game AND pa.period = pb.period GROUP BY ALL""")
 def deserved_points(spark, sf_dir):
-    """Chances of a win and a tie when both sides score at their own means (Poisson, as far as the means reach; the SQL stops at 30)."""
+    """Chances of a win and a tie when both sides score at their own means (Poisson, as far as the means reach)."""
     from stintlake.plans.distributions import poisson_duel
 
     x = duels(spark, sf_dir).select("game", "period", poisson_duel(F.greatest(F.col("gf"), F.lit(0.5)), F.greatest(F.col("ga"), F.lit(0.5))).alias("d"))

@@ -27,8 +27,14 @@ def query(sql: str | None = None):
 #: A file of each order: teams, score, day, kind, and the order in which it arrives.
 FILES = """fl AS (SELECT o_orderkey AS file, 'TEAM ' || (o_custkey % 20) AS team_a, 'SIDE ' || (o_custkey % 3) AS team_b, CAST(o_custkey % 4 AS INTEGER) AS goals_a, CAST(o_custkey % 2 AS INTEGER) AS goals_b, CAST(o_orderdate AS DATE) AS day,
  CASE o_orderkey % 5 WHEN 0 THEN 'match report' WHEN 1 THEN 'player report' WHEN 2 THEN 'team' ELSE 'players' END AS kind, (o_orderkey * 7919) % 100003 AS arrived FROM orders)"""
-SAME = f"""{FILES}, f1 AS (SELECT *, CASE WHEN date_diff('day', lag(day) OVER w, day) <= 1 THEN 0 ELSE 1 END AS fresh FROM fl WINDOW w AS (PARTITION BY team_a, team_b, goals_a, goals_b ORDER BY day, file)),
-f2 AS (SELECT *, sum(fresh) OVER (PARTITION BY team_a, team_b, goals_a, goals_b ORDER BY day, file ROWS UNBOUNDED PRECEDING) AS g FROM f1), f3 AS (SELECT *, min(day) OVER (PARTITION BY team_a, team_b, goals_a, goals_b, g) AS game_day FROM f2)"""
+SAME = f"""{FILES}, dy AS (SELECT *, row_number() OVER (PARTITION BY team_a, team_b, goals_a, goals_b ORDER BY arrived, file) AS n FROM fl
+ QUALIFY row_number() OVER (PARTITION BY team_a, team_b, goals_a, goals_b, day ORDER BY arrived, file) = 1),
+d1 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY team_a, team_b, goals_a, goals_b ORDER BY n) AS m FROM dy),
+st AS (SELECT team_a, team_b, goals_a, goals_b, 0 AS m, CAST([] AS DATE[]) AS days FROM d1 WHERE m = 1
+ UNION ALL SELECT st.team_a, st.team_b, st.goals_a, st.goals_b, st.m + 1, CASE WHEN len(list_filter(days, lambda x: abs(date_diff('day', x, d1.day)) <= 1)) > 0 THEN days ELSE list_append(days, d1.day) END
+ FROM st JOIN d1 ON d1.team_a = st.team_a AND d1.team_b = st.team_b AND d1.goals_a = st.goals_a AND d1.goals_b = st.goals_b AND d1.m = st.m + 1),
+kd AS (SELECT team_a, team_b, goals_a, goals_b, arg_max(days, m) AS days FROM st GROUP BY ALL),
+f3 AS (SELECT fl.*, list_filter(days, lambda x: abs(date_diff('day', x, fl.day)) <= 1)[1] AS game_day FROM fl JOIN kd USING (team_a, team_b, goals_a, goals_b))"""
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,13 +46,13 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"WITH {SAME} SELECT file, strftime(game_day, '%Y-%m-%d') AS game_day FROM f3")
+@query(f"WITH RECURSIVE {SAME} SELECT file, strftime(game_day, '%Y-%m-%d') AS game_day FROM f3")
 def same_games(spark, sf_dir):
-    """The game of each file: same teams and score, dates a day apart at most."""
+    """The game of each file: same teams and score, its day a day from the game's first at most."""
     return S.same_games(files(spark, sf_dir)).select("file", F.date_format("game_day", "yyyy-MM-dd").alias("game_day"))
 
 
-@query(f"""WITH {SAME}, p AS (SELECT *, coalesce(bool_or(kind = 'players') OVER (PARTITION BY team_a, team_b, goals_a, goals_b, game_day ORDER BY arrived, file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS built, count(*) OVER (PARTITION BY team_a, team_b, goals_a, goals_b, game_day, kind ORDER BY arrived, file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS again FROM f3)
+@query(f"""WITH RECURSIVE {SAME}, p AS (SELECT *, coalesce(bool_or(kind = 'players') OVER (PARTITION BY team_a, team_b, goals_a, goals_b, game_day ORDER BY arrived, file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS built, count(*) OVER (PARTITION BY team_a, team_b, goals_a, goals_b, game_day, kind ORDER BY arrived, file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS again FROM f3)
 SELECT file, CASE WHEN again > 0 THEN 'AlreadyLoaded' WHEN built THEN 'GameUpdated' WHEN kind = 'players' THEN 'GameAdded' ELSE 'Waiting' END AS state FROM p""")
 def file_arrivals(spark, sf_dir):
     """What each arriving file does to its game."""

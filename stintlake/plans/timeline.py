@@ -54,13 +54,13 @@ def interval_union_gap(spark, sf_dir):
     return I.interval_union(shifts(spark, sf_dir), ["player"], gap=30 * MINUTE)
 
 
-@query(f""", {union_sql('u', 'shift', 'team, game')}, b AS (SELECT CAST(unnest(range(0, 30)) AS BIGINT) AS block)
-SELECT team, game, b.block, CAST(sum(greatest(least(end_us, (game * 24 + block + 1) * {HOUR}) - greatest(start_us, (game * 24 + block) * {HOUR}), 0)) AS BIGINT) AS us
-FROM u JOIN b ON start_us < (game * 24 + block + 1) * {HOUR} AND end_us > (game * 24 + block) * {HOUR} GROUP BY team, game, b.block""")
+@query(f""", {union_sql('u', 'shift', 'team, game')}, b AS (SELECT *, unnest(range(start_us // {HOUR}, (end_us - 1) // {HOUR} + 1)) AS bucket FROM u)
+SELECT team, game, bucket - game * 24 AS block, CAST(sum(least(end_us, (bucket + 1) * {HOUR}) - greatest(start_us, bucket * {HOUR})) AS BIGINT) AS us
+FROM b WHERE end_us > start_us GROUP BY team, game, bucket""")
 def interval_overlap_seconds(spark, sf_dir):
-    """How long each team is active in each hour of a day (and of the six hours after)."""
+    """How long each team is active in each hour from a day's beginning on."""
     u = I.in_buckets(I.interval_union(shifts(spark, sf_dir), ["team", "game"]), "start_us", "end_us", HOUR)
-    u = u.withColumn("block", F.col("_bucket") - F.col("game") * 24).filter("block >= 0 and block < 30")
+    u = u.withColumn("block", F.col("_bucket") - F.col("game") * 24)
     length = I.overlap(F.col("start_us"), F.col("end_us"), F.col("_bucket") * HOUR, (F.col("_bucket") + 1) * HOUR)
     return u.withColumn("us", length).filter("us > 0").groupBy("team", "game", "block").agg(F.sum("us").alias("us"))
 

@@ -11,8 +11,6 @@ from stintlake.sources.event_csv import HEADER
 
 #: The version of stored games; others are read again.
 VERSION = 1
-#: How many days the dates of one game's files may lie apart.
-NEAR_DAYS = 1
 
 
 def kind_of(first: Column, name: Column) -> Column:
@@ -44,15 +42,32 @@ def stored_name(team_a: Column, goals_a: Column, goals_b: Column, team_b: Column
 
 
 def same_games(files: DataFrame) -> DataFrame:
-    """files (file, team_a, team_b, goals_a, goals_b, day) with ``game_day``: the first day of its game.
+    """files (file, team_a, team_b, goals_a, goals_b, day, arrived) with ``game_day``: the day under which its game is stored.
 
-    Files are of one game if teams, in order, and score agree and each follows the one before by a day at most.
+    A file is of the first stored game with its teams, in order, and its score whose day is near its own; else it starts one,
+    under its own day. Whether a day starts a game is decided by its neighbours that arrived before it: a day without such
+    starts one, one with a single such neighbour does as that one does not, and so on in turn along the days whose arrivals
+    follow one another; a day with two such neighbours starts one only if neither did.
     """
-    same = Window.partitionBy("team_a", "team_b", "goals_a", "goals_b").orderBy("day", "file")
-    fresh = F.when(F.datediff("day", F.lag("day").over(same)) <= NEAR_DAYS, 0).otherwise(1)
-    run = same.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = files.withColumn("_fresh", fresh).withColumn("_game", F.sum("_fresh").over(run))
-    return marked.withColumn("game_day", F.min("day").over(Window.partitionBy("team_a", "team_b", "goals_a", "goals_b", "_game"))).drop("_fresh", "_game")
+    keys = ["team_a", "team_b", "goals_a", "goals_b"]
+    days = files.groupBy(*keys, "day").agg(F.min(F.struct("arrived", "file")).alias("at"))
+    order = Window.partitionBy(*keys).orderBy("day")
+    near = lambda f, sign: F.when(F.datediff(f("day").over(order), F.col("day")) == sign, f("at").over(order))
+    days = days.withColumn("left", near(F.lag, -1)).withColumn("right", near(F.lead, 1)).withColumn("n", F.row_number().over(order))
+    follows = lambda side: F.coalesce(F.col(side) < F.col("at"), F.lit(False))
+    days = days.withColumn("by_left", follows("left")).withColumn("by_right", follows("right"))
+    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    steps = {  # days since the first of those that follow one another from the left, and from the right
+        "from_left": F.col("n") - F.max(F.when(~F.col("by_left"), F.col("n"))).over(before),
+        "from_right": F.min(F.when(~F.col("by_right"), F.col("n"))).over(after) - F.col("n"),
+    }
+    for name, value in steps.items():
+        days = days.withColumn(name, value)
+    days = days.withColumn("starts", (F.col("from_left") % 2 == 0) & (F.col("from_right") % 2 == 0))
+    started = lambda f, side: F.when(F.col(side).isNotNull() & f("starts").over(order), F.struct(F.col(side).alias("at"), f("day").over(order).alias("day")))
+    first = F.least(started(F.lag, "left"), started(F.lead, "right"))["day"]
+    days = days.withColumn("game_day", F.when(F.col("starts"), F.col("day")).otherwise(first))
+    return files.join(days.select(*keys, "day", "game_day"), [*keys, "day"])
 
 
 def arrivals(files: DataFrame) -> DataFrame:
