@@ -9,6 +9,7 @@ from stintlake.functions import rink
 from stintlake.functions import text as T
 from stintlake.operators import aggregates as A
 from stintlake.operators import joins as J
+from stintlake.operators import ordered as O
 from stintlake.plans.adapter import SQL, actions, shifts, table
 from stintlake.plans.rink_game import outcome
 from stintlake.plans.season import DUELS, LEAGUE, TOI, duels, ice_time, league
@@ -34,8 +35,8 @@ def in_scope(games: DataFrame, wanted: list[int], col: str = "game") -> DataFram
 def focus(games: DataFrame, game: int, col: str = "game") -> DataFrame:
     """Games with ``focus``: whether it is the one that is compared with the rest. One outside the scope is an error."""
     marked = games.withColumn("focus", F.col(col) == game)
-    found = F.max("focus").over(Window.partitionBy(F.lit(0)))
-    return marked.withColumn("focus", F.when(found, F.col("focus")).otherwise(F.raise_error(F.lit("the focus game is not in scope")).cast("boolean")))
+    found = marked.agg(F.coalesce(F.max("focus"), F.lit(False)).alias("_found"))
+    return marked.crossJoin(F.broadcast(found)).withColumn("focus", F.when(F.col("_found"), F.col("focus")).otherwise(F.raise_error(F.lit("the focus game is not in scope")).cast("boolean"))).drop("_found")
 
 
 @query(" SELECT game, CAST(count(*) AS BIGINT) AS n, game = 19727 AS focus FROM act WHERE game IN (19725, 19727, 19729, 19731) GROUP BY game")
@@ -198,8 +199,7 @@ SELECT player, CASE WHEN p >= 0.9 THEN 'very likely above average' WHEN p >= 0.7
 def words_and_ordinals(spark, sf_dir):
     """Chances in words and places as ordinals."""
     c = actions(spark, sf_dir).groupBy("player").agg(F.count_if(F.col("action") == "click").alias("s"), F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("s"), "player"))
-    return c.withColumn("place", place).select("player", T.probability_words(F.col("s") / F.col("n")).alias("words"), T.ordinal(F.col("place")).alias("ordinal"))
+    return O.numbered(c, [F.desc("s"), F.col("player")], "place").select("player", T.probability_words(F.col("s") / F.col("n")).alias("words"), T.ordinal(F.col("place")).alias("ordinal"))
 
 
 @query(f""", {LEAGUE}, v AS (SELECT team, strength, CASE WHEN region % 2 = 0 THEN 1 ELSE -1 END AS better FROM n)

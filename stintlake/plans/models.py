@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from stintlake.functions import network as N
 from stintlake.functions import regression as R
 from stintlake.functions import special as S
-from stintlake.functions.stint_model import impact
+from stintlake.functions.stint_model import impact, interaction_test
+from stintlake.operators import intervals as I
 from stintlake.plans.adapter import actions, table
 from stintlake.plans.season import daily, ice_time
 from stintlake.plans.timeline import ORACLES as TIMELINE_SQL
@@ -40,11 +41,26 @@ def poisson_glm(spark, sf_dir):
     return coefficients(spark, ["intercept", "clicks", "views"], R.glm(t, x, F.col("goals"), "poisson", F.ln(F.col("toi") / 3600), np.array([0, 0.1, 0.1])))
 
 
+def stint_counts(spark, sf_dir) -> DataFrame:
+    """``game, members, y_for, y_against, hours`` of the stints with players: the actions of their own team and of the others in them."""
+    st = stint_sets(spark, sf_dir).filter("on_ice > 0").withColumn("hours", F.greatest((F.col("to_us") - F.col("from_us")) / 3.6e9, F.lit(1e-6)))
+    a = actions(spark, sf_dir).select("game", F.col("team").alias("by"), "event_id", "at_us")
+    hit = I.point_in_interval(a, st.select("game", "team", "from_us", "to_us"), ["game"], "at_us", "from_us", "to_us")
+    own = F.col("by") == F.col("team")
+    n = hit.groupBy("game", "team", "from_us").agg(F.count_if(own).alias("y_for"), F.count_if(~own).alias("y_against"))
+    return st.join(n, ["game", "team", "from_us"], "left").na.fill(0, ["y_for", "y_against"]).select("game", F.split("members", ",").alias("members"), "y_for", "y_against", "hours")
+
+
 @query
 def rapm(spark, sf_dir):
-    """Ridge impact of every player on how often their team is active, over stints; the penalty is chosen by leaving out games."""
-    st = stint_sets(spark, sf_dir).filter("on_ice > 0")
-    return impact(st.select("game", "members", F.col("on_ice").alias("y"), F.greatest((F.col("to_us") - F.col("from_us")) / 3.6e9, F.lit(1e-6)).alias("hours")))
+    """Ridge impact of every player on what their team and the others do in a stint; the penalty is chosen by leaving out games."""
+    return impact(stint_counts(spark, sf_dir))
+
+
+@query
+def interaction_lrt(spark, sf_dir):
+    """Whether sets of players do otherwise than their players add up to, over all stints."""
+    return interaction_test(stint_counts(spark, sf_dir))
 
 
 @query

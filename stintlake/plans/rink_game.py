@@ -14,6 +14,7 @@ from stintlake.plans.adapter import GAME_SQL, GOALIE, game_rows
 from stintlake.session import written
 
 QUERIES, ORACLES = {}, {}
+_REBUILT: dict[tuple[str, str], DataFrame] = {}
 
 
 def query(sql: str | None = None):
@@ -27,8 +28,11 @@ def query(sql: str | None = None):
 
 
 def rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows on the game clock, written once for the steps that share them."""
-    return written(G.on_clock(written(game_rows(spark, sf_dir), "rows")), "clocked")
+    """All rows on the game clock, written once a session and folder for all queries that share them."""
+    key = (spark.sparkContext.applicationId, str(sf_dir))
+    if key not in _REBUILT:
+        _REBUILT[key] = written(G.on_clock(written(game_rows(spark, sf_dir), "rows")), "clocked")
+    return _REBUILT[key]
 
 
 def merged_sql(name: str, source: str, keys: str, gap: float = 1) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stintlake.operators import aggregates as A
 from stintlake.operators import intervals as I
 from stintlake.operators import joins as J
+from stintlake.operators import ordered as O
 from stintlake.operators import windows as W
 from stintlake.plans.adapter import HOUR, SQL, actions, shifts, skater_lines, table, union_sql
 
@@ -207,8 +208,7 @@ l AS (""" + " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a},
 def spearman_matrix(spark, sf_dir):
     """Rank correlations of the players' figures."""
     names = ("toi", "clicks", "views", "goals")
-    t = ice_time(spark, sf_dir).withColumn("all", F.lit(1))
-    r = t.select(*[W.midrank(c, ["all"]).alias(c) for c in names])
+    r = O.with_midranks(ice_time(spark, sf_dir), {c: f"r_{c}" for c in names}).select(*[F.col(f"r_{c}").alias(c) for c in names])
     pairs = [(a, b) for a in names for b in names if a < b]
     # one aggregate for all pairs; the guard keeps a column without spread from dividing by zero
     safe = [F.when((F.stddev_samp(a) > 0) & (F.stddev_samp(b) > 0), F.covar_samp(a, b) / F.nullif(F.stddev_samp(a) * F.stddev_samp(b), F.lit(0.0))).alias(f"{a}:{b}") for a, b in pairs]

@@ -10,6 +10,7 @@ from stintlake.functions import network as N
 from stintlake.functions import regression as R
 from stintlake.functions import special as S
 from stintlake.operators import aggregates as A
+from stintlake.operators import ordered as O
 from stintlake.operators import intervals as I
 from stintlake.plans import game as G
 from stintlake.plans.adapter import GAME_SQL, SQL, actions
@@ -277,10 +278,7 @@ q AS ({' UNION ALL '.join(f"SELECT '{n}' AS feature, corr(x, {c}) AS rho, CAST(c
 SELECT feature, n, round(rho, 7) AS rho, round({t_p_sql('t', '(n - 2.0)')}, 7) AS p FROM s""")
 def spearman_tests(spark, sf_dir):
     """Rank correlations of three figures with time, and their p-values. Ranks come from counts of distinct values."""
-    t = ice_time(spark, sf_dir)
-    ranked = t
-    for c in ("toi", "clicks", "views", "goals"):
-        ranked = ranked.join(midranks(t, c), c)
+    ranked = O.with_midranks(ice_time(spark, sf_dir), {c: f"r_{c}" for c in ("toi", "clicks", "views", "goals")})
     out = None
     for c in ("clicks", "views", "goals"):
         x = ranked.agg(F.lit(c).alias("feature"), F.count("*").alias("n"), F.covar_samp("r_toi", f"r_{c}").alias("v"), (F.stddev_samp("r_toi") * F.stddev_samp(f"r_{c}")).alias("s"))
@@ -289,13 +287,6 @@ def spearman_tests(spark, sf_dir):
     return out.select("feature", "n", F.round("rho", 7).alias("rho"), F.round(S.column(S.correlation_p, F.col("rho"), F.col("n")), 7).alias("p"))
 
 
-def midranks(df: DataFrame, c: str) -> DataFrame:
-    """``c, r_c``: the average rank of each distinct value, from running sums over the values' counts alone."""
-    n = df.groupBy(c).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return n.select(c, (before - (F.col("n") - 1) / 2).alias(f"r_{c}"))
-
-
 CHANGES = """so AS (SELECT action AS src, lead(action) OVER (PARTITION BY team, game ORDER BY at_us, event_id) AS dst FROM act), ki AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS k),
 ce AS (SELECT a.k AS src, b.k AS dst, (SELECT count(*) FROM so WHERE so.src = a.k AND so.dst = b.k) AS n FROM ki a, ki b WHERE a.k <> b.k),
 mt AS (SELECT (SELECT list(s ORDER BY src) FROM (SELECT src, sum(n)::DOUBLE AS s FROM ce GROUP BY src)) AS tr, (SELECT list(s ORDER BY dst) FROM (SELECT dst, sum(n)::DOUBLE AS s FROM ce GROUP BY dst)) AS tc),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stintlake.operators import aggregates as A
 from stintlake.operators import intervals as I
 from stintlake.operators import joins as J
-from stintlake.operators import windows as W
+from stintlake.operators import ordered as O
 from stintlake.plans.adapter import HOUR, SQL, actions, shifts, union_sql
 
 MINUTE = 60_000_000
@@ -39,7 +39,7 @@ def active_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = I.interval_union(s, ["player"]).groupBy("player").agg(F.count("*").alias("stretches"), F.expr("sum(end_us - start_us) div 1000000").alias("active_sec"))
     n = s.groupBy("player").agg(F.count("*").alias("n"))
     out = t.join(n, "player").withColumn("per_60", F.round(A.ratio(F.col("n"), F.col("active_sec"), 3600.0), 6))
-    return out.withColumn("one", F.lit(1)).withColumn("mid", W.midrank("active_sec", ["one"])).drop("one")
+    return O.with_midranks(out, {"active_sec": "mid"})
 
 
 @query(f", {union_sql('u', 'shift', 'team, game')} SELECT team, game, start_us, end_us, CAST(parts AS BIGINT) AS parts FROM u")

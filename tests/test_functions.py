@@ -84,49 +84,6 @@ def test_poisson_duel_at_any_mean(spark):
         assert abs(d["win"] - np.dot(pa, below)) < 1e-9 and abs(d["tie"] - np.dot(pa, pb)) < 1e-9
 
 
-def test_impact_has_every_player(spark):
-    from stintlake.functions import stint_model
-
-    rng = np.random.default_rng(4)
-    sets = [sorted(rng.choice(20, rng.integers(1, 4), replace=False).tolist()) for _ in range(150)]
-    rows = [(i % 5, ",".join(map(str, m)), int(rng.poisson(2 + (3 in m))), float(rng.random() + 0.1)) for i, m in enumerate(sets)]
-    names = sorted({str(p) for m in sets for p in m})
-    x = np.array([[1.0, *(n in r[1].split(",") for n in names)] for r in rows])
-    y, h, game = (np.array([r[i] for r in rows], dtype=float) for i in (2, 3, 0))
-
-    def dense(keep, lam):
-        w, b = np.diag([0.0] + [lam] * len(names)), np.zeros(x.shape[1])
-        for _ in range(60):
-            mu = h[keep] * np.exp(x[keep] @ b)
-            info = x[keep].T @ (mu[:, None] * x[keep]) + w
-            b = b + np.clip(np.linalg.solve(info, x[keep].T @ (y[keep] - mu) - w @ b), -1, 1)
-        return b, np.sqrt(np.diag(np.linalg.inv(info)))
-
-    def missed(lam):
-        total = 0.0
-        for g in range(5):
-            eta = x[game == g] @ dense(game != g, lam)[0]
-            total += (h[game == g] * np.exp(eta) - y[game == g] * eta).sum()
-        return total
-
-    lam = min(stint_model.PENALTIES, key=missed)
-    df = spark.createDataFrame(rows, "game int, members string, y int, hours double")
-    assert stint_model.choose_penalty(df) == lam
-    b, se = dense(game >= 0, lam)
-    got = {r["term"]: r for r in stint_model.impact(df).collect()}
-    assert set(got) == {"intercept", *names}
-    assert np.allclose([[got[n]["estimate"], got[n]["se"]] for n in ["intercept", *names]], np.column_stack([b, se]), atol=1e-7)
-
-
-def test_rapm_has_all_players(spark):
-    from stintlake import registry
-    from stintlake.plans.timeline import stint_sets
-
-    sf = "/root/testdata/sf0.001"
-    players = stint_sets(spark, sf).filter("on_ice > 0").select(F.explode(F.split("members", ","))).distinct().count()
-    assert registry.QUERIES["rapm"](spark, sf).count() == players + 1 > 13
-
-
 def test_cells_of_every_kind(spark):
     n = None
     want = {
