@@ -18,6 +18,7 @@ from stintlake.plans.adapter import actions, table
 from stintlake.plans.season import daily, ice_time
 from stintlake.plans.timeline import ORACLES as TIMELINE_SQL
 from stintlake.plans.timeline import pass_matrix, stint_sets
+from stintlake.session import written
 
 QUERIES, ORACLES = {}, {}
 PASSES = TIMELINE_SQL["pass_matrix"]
@@ -51,10 +52,21 @@ def stint_counts(spark, sf_dir) -> DataFrame:
     return st.join(n, ["game", "team", "from_us"], "left").na.fill(0, ["y_for", "y_against"]).select("game", F.split("members", ",").alias("members"), "y_for", "y_against", "hours")
 
 
+_RATINGS: dict[tuple[str, str], DataFrame] = {}
+
+
+def ratings(spark, sf_dir) -> DataFrame:
+    """The impact of every player, fitted once a session and folder."""
+    key = (spark.sparkContext.applicationId, str(sf_dir))
+    if key not in _RATINGS:
+        _RATINGS[key] = written(impact(stint_counts(spark, sf_dir)), "ratings")
+    return _RATINGS[key]
+
+
 @query
 def rapm(spark, sf_dir):
     """Ridge impact of every player on what their team and the others do in a stint; the penalty is chosen by leaving out games."""
-    return impact(stint_counts(spark, sf_dir))
+    return ratings(spark, sf_dir)
 
 
 @query
@@ -220,26 +232,3 @@ def games_needed(spark, sf_dir):
     kind = F.col("action")
     t = actions(spark, sf_dir).groupBy("player").agg(F.count_if(kind == "click").alias("s"), F.count_if(kind.isin("click", "view")).alias("n"), F.countDistinct("game").alias("g")).filter("n > 0")
     return t.mapInPandas(run, "player long, share double, games double")
-
-
-@query
-def lineup_search(spark, sf_dir):
-    """Four disjoint trios of all players that are worth most: all partitions of the twelve best, scored by joins.
-
-    No rate is negative and a trio's worth grows with each of its rates, so an unused player of a higher rate can always take a
-    place without loss: the best four trios are found among the twelve highest rates, whatever the number of players.
-    Each trio is a bit mask; partitions grow by one trio at a time that holds the first free player, so each is met once.
-    """
-    t = ice_time(spark, sf_dir).filter("toi > 0").select("player", (3600.0 * F.col("goals") / F.col("toi")).alias("v")).orderBy(F.desc("v"), "player").limit(12)
-    t = t.withColumn("all", F.lit(1)).select(F.row_number().over(Window.partitionBy("all").orderBy("player")).alias("i"), "player", "v")
-    one = lambda n: t.select(F.col("i").alias(f"i{n}"), F.col("player").alias(f"p{n}"), F.col("v").alias(f"v{n}"))
-    a, b, c = one(1), one(2), one(3)
-    trio = a.join(F.broadcast(b), F.col("i1") < F.col("i2")).join(F.broadcast(c), F.col("i2") < F.col("i3"))
-    trio = trio.select(F.expr("shiftleft(1, i1) | shiftleft(1, i2) | shiftleft(1, i3)").alias("mask"), F.col("i1").alias("first"), (F.sqrt(F.abs(F.col("v1") * F.col("v2") * F.col("v3"))) + F.col("v1") + F.col("v2") + F.col("v3")).alias("value"), F.array("p1", "p2", "p3").alias("members"))
-    found = trio.filter("first = 1").select("mask", "value", F.array("members").alias("lines"))
-    for _ in range(3):
-        nxt = trio.select(F.col("mask").alias("m"), "first", F.col("value").alias("v"), "members")
-        low = F.array_min(F.filter(F.sequence(F.lit(1), F.lit(12)), lambda i: F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) == 0))
-        found = found.withColumn("first", low).join(nxt, "first").filter(F.col("mask").bitwiseAND(F.col("m")) == 0)
-        found = found.select(F.col("mask").bitwiseOR(F.col("m")).alias("mask"), (F.col("value") + F.col("v")).alias("value"), F.concat("lines", F.array("members")).alias("lines"))
-    return found.orderBy(F.desc("value"), F.col("lines").cast("string")).limit(1).select(F.round("value", 6).alias("value"), F.posexplode("lines").alias("line", "members"))
