@@ -9,7 +9,7 @@ A query walks all trees at once: the open branches of all of them wait in a sing
 splitting planes, and the nearest ``search_leaves`` leaves are taken whichever tree they belong to. Below the top levels
 the queue goes on as a table: of every query the nearest branches are kept at each level, as many as leaves are wanted.
 Since a branch is never nearer than its parent, these are the leaves that one long queue would have given. Their members
-are then reranked by exact cosine, rounded to 12 decimals so that multiples of one vector tie.
+are then reranked by exact cosine, in digits enough that multiples of one vector tie.
 
 Defined results: rows whose id is null, or whose vector is null, empty, zero or holds null or non-finite components, take
 no part, nor do vectors of another length than the commonest. Equal vectors are searched once and share their score. Rows
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from stintlake.llm.common import best_per_query, blocks, common_length, ranked_ids, smallest_ids, spread, table, usable_vector
 from stintlake.session import written
 
-#: Decimals of a score; vectors whose scores agree in these tie.
-DIGITS = 12
+#: By how much a score in plain doubles may be off, at the very most.
+SLACK = 2e-12
 #: Levels of planes that one step adds to a tree, so it adds up to FAN branches to a node.
 STEP, FAN = 9, 512
 TREE = "planes binary, cuts binary, kids binary"
@@ -138,16 +138,16 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosine(c: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The cosine of each row of c and q: summed with more digits than are kept, so that multiples of a vector get one score."""
+    """The cosine of each row of c and q as the nearest double: worked out with more digits, so that multiples of a vector tie."""
     c, q = c.astype(np.longdouble), q.astype(np.longdouble)
-    return np.round((c * q).sum(axis=1) / np.sqrt((c * c).sum(axis=1) * (q * q).sum(axis=-1)), DIGITS).astype(np.float64)
+    return ((c * q).sum(axis=1) / np.sqrt((c * c).sum(axis=1) * (q * q).sum(axis=-1))).astype(np.float64)
 
 
 def best_members(c: np.ndarray, first: np.ndarray, q: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row of q its ``keep`` best rows of c (ties: smaller ``first``): rows of q, rows of c, scores."""
     few = min(keep, len(c))
     near = unit(q) @ unit(c).T
-    least = np.partition(near, len(c) - few, axis=1)[:, len(c) - few] - 2 * 10.0**-DIGITS
+    least = np.partition(near, len(c) - few, axis=1)[:, len(c) - few] - SLACK
     rows, cols = np.nonzero(near >= least[:, None])  # with all ties at the last score
     exact = cosine(c[cols], q[rows])
     order = np.lexsort((first[cols], -exact, rows))
