@@ -38,9 +38,13 @@ f3 AS (SELECT fl.*, list_filter(days, lambda x: abs(date_diff('day', x, fl.day))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_files(table(spark, sf_dir, "orders"))
+
+
+def as_files(orders: DataFrame) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     kind = F.when(k % 5 == 0, "match report").when(k % 5 == 1, "player report").when(k % 5 == 2, "team").otherwise("players")
-    return table(spark, sf_dir, "orders").select(
+    return orders.select(
         k.alias("file"), F.concat(F.lit("TEAM "), (c % 20).cast("string")).alias("team_a"), F.concat(F.lit("SIDE "), (c % 3).cast("string")).alias("team_b"), (c % 4).cast("int").alias("goals_a"), (c % 2).cast("int").alias("goals_b"),
         F.to_date("o_orderdate").alias("day"), kind.alias("kind"), (k * 7919 % 100003).alias("arrived"),
     )

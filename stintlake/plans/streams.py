@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stintlake.plans.documents import ORACLES as DOCUMENT_SQL
+from stintlake.plans.documents import as_files
 from stintlake.session import new_path
 from stintlake.streaming import actions as S
 
@@ -26,12 +28,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def finished(stream: DataFrame, name: str) -> DataFrame:
-    """The complete result of a stream once it has read what there is; every batch replaces the last."""
+def finished(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """The result of a stream once it has read what there is: every complete batch replaces the last, others are added."""
     spark, path = stream.sparkSession, new_path(stream.sparkSession, name)
+    into = "overwrite" if mode == "complete" else "append"
     q = (
-        stream.writeStream.outputMode("complete").option("checkpointLocation", new_path(spark, f"{name}-state")).trigger(availableNow=True)
-        .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
+        stream.writeStream.outputMode(mode).option("checkpointLocation", new_path(spark, f"{name}-state")).trigger(availableNow=True)
+        .foreachBatch(lambda df, _: df.write.mode(into).parquet(path)).start()
     )
     q.awaitTermination()
     return spark.read.parquet(path)
@@ -50,3 +53,11 @@ def session_shifts_stream(spark, sf_dir):
     """Each user's sessions of actions less than half an hour apart, from a stream."""
     s = finished(S.sessions(events(spark, sf_dir), late="60 days"), "sessions")
     return s.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@query(DOCUMENT_SQL["file_arrivals"])
+def file_arrivals_stream(spark, sf_dir):
+    """What each arriving file does to its game, from a stream of files with the games' state."""
+    orders = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/orders.parquet").schema).parquet(f"{sf_dir}/orders.parque[t]")
+    arriving = as_files(orders).withColumn("arrived", F.timestamp_seconds("arrived"))
+    return finished(S.arrivals(arriving), "arrivals", "append").filter("file is not null").select("file", "state")
