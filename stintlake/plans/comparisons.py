@@ -12,6 +12,7 @@ from stintlake.functions import text as T
 from stintlake.operators import aggregates as A
 from stintlake.operators import joins as J
 from stintlake.operators import windows as W
+from stintlake.plans import distributions as D
 from stintlake.plans.adapter import DAY, HOUR, SQL, actions, skater_lines, table
 from stintlake.plans.season import DAILY, LEAGUE, TOI, ZONE_SQL, daily, duels, DUELS, ice_time, league, placed
 
@@ -341,24 +342,51 @@ def goal_describe(spark, sf_dir):
 SELECT game, team, round(exp(sum(ln(1 - p))), 9) AS p_none, round(sum(p), 6) AS expected FROM s GROUP BY game, team""")
 def poisson_binomial(spark, sf_dir):
     """The chance of no goal and the mean of each team's shots of a day, from the whole distribution of its sum."""
-    from stintlake.plans.distributions import convolved
+    d = goal_chances(spark, sf_dir)
+    return d.select("game", "team", F.round(F.col("d")[0], 9).alias("p_none"), F.round(D.mean_of(F.col("d")), 6).alias("expected"))
 
+
+def goal_chances(spark, sf_dir) -> DataFrame:
     s = actions(spark, sf_dir).filter("action = 'purchase'").withColumn("p", F.greatest(F.least(F.col("value") / 1000, F.lit(1.0)), F.lit(0.0)))
-    d = s.groupBy("game", "team").agg(convolved(F.transform(F.array_sort(F.collect_list("p")), lambda p: F.array(1 - p, p))).alias("d"))
-    mean = F.aggregate(F.transform("d", lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
-    return d.select("game", "team", F.round(F.col("d")[0], 9).alias("p_none"), F.round(mean, 6).alias("expected"))
+    return D.success_distributions(s, ["game", "team"], "p")
+
+
+@query()
+def goal_distributions(spark, sf_dir):
+    """The chance of every number of goals from each team's shots of a day."""
+    return goal_chances(spark, sf_dir).select("game", "team", F.posexplode("d").alias("k", "p")).select("game", "team", F.col("k").cast("long"), F.round("p", 9).alias("chance"))
+
+
+ORACLES["goal_distributions"] = f"""WITH RECURSIVE {SQL}, s AS (SELECT game, team, least(greatest(value / 1000, 0), 1) AS p, row_number() OVER (PARTITION BY game, team ORDER BY event_id) AS i FROM act WHERE action = 'purchase'),
+d AS (SELECT game, team, CAST(0 AS BIGINT) AS i, [1.0::DOUBLE] AS d FROM s WHERE i = 1
+  UNION ALL SELECT d.game, d.team, s.i, list_transform(range(1, len(d) + 2), lambda k: coalesce(d[k], 0) * (1 - p) + CASE WHEN k > 1 THEN d[k - 1] * p ELSE 0 END) FROM d JOIN s ON s.game = d.game AND s.team = d.team AND s.i = d.i + 1),
+e AS (SELECT game, team, arg_max(d, i) AS d FROM d GROUP BY ALL) SELECT game, team, k - 1 AS k, round(d[k], 9) AS chance FROM (SELECT game, team, d, unnest(range(1, len(d) + 1)) AS k FROM e)"""
 
 
 @query(f""", {DUELS}, p AS (SELECT period, count(*) AS n, avg(CASE WHEN points = 2 THEN 1.0 ELSE 0 END) AS w, avg(CASE WHEN points = 1 THEN 1.0 ELSE 0 END) AS t FROM o GROUP BY period)
 SELECT period, round(n * (2 * w + t), 5) AS mean, round(pow(1 - w - t, n), 12) AS p_zero FROM p""")
 def season_points_conv(spark, sf_dir):
     """The distribution of a season's points when every duel ends as the season's shares have it."""
-    from stintlake.plans.distributions import convolved
+    d = points_chances(spark, sf_dir)
+    return d.select("period", F.round(D.mean_of(F.col("d")), 5).alias("mean"), F.round(F.col("d")[0], 12).alias("p_zero"))
 
+
+def points_chances(spark, sf_dir) -> DataFrame:
     share = lambda k: F.avg((F.col("points") == k).cast("double"))
-    p = duels(spark, sf_dir).groupBy("period").agg(F.count("*").alias("n"), share(2).alias("w"), share(1).alias("t"))
-    d = p.select("period", convolved(F.array_repeat(F.array(1 - F.col("w") - F.col("t"), F.col("t"), F.col("w")), F.col("n").cast("int"))).alias("d"))
-    return d.select("period", F.round(F.aggregate(F.transform("d", lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x), 5).alias("mean"), F.round(F.col("d")[0], 12).alias("p_zero"))
+    p = duels(spark, sf_dir).groupBy("period").agg(F.count("*").cast("int").alias("n"), share(2).alias("w"), share(1).alias("t"))
+    return p.select("period", D.powered(F.array(1 - F.col("w") - F.col("t"), F.col("t"), F.col("w")), F.col("n")).alias("d"))
+
+
+@query()
+def points_distribution(spark, sf_dir):
+    """The chance of every number of points in a season of such duels."""
+    return points_chances(spark, sf_dir).select("period", F.posexplode("d").alias("points", "p")).select("period", F.col("points").cast("long"), F.round("p", 9).alias("chance"))
+
+
+ORACLES["points_distribution"] = f"""WITH RECURSIVE {SQL}, {DUELS}, share AS (SELECT period, count(*) AS n, avg(CASE WHEN points = 2 THEN 1.0 ELSE 0 END) AS w, avg(CASE WHEN points = 1 THEN 1.0 ELSE 0 END) AS t FROM o GROUP BY period),
+sums AS (SELECT period, n, w, t, CAST(0 AS BIGINT) AS i, [1.0::DOUBLE] AS d FROM share
+  UNION ALL SELECT period, n, w, t, i + 1, list_transform(range(1, len(d) + 3), lambda k: coalesce(d[k], 0) * (1 - w - t) + CASE WHEN k > 1 THEN coalesce(d[k - 1], 0) * t ELSE 0 END + CASE WHEN k > 2 THEN d[k - 2] * w ELSE 0 END) FROM sums WHERE i < n)
+SELECT period, k - 1 AS points, round(d[k], 9) AS chance FROM (SELECT period, d, unnest(range(1, len(d) + 1)) AS k FROM sums WHERE i = n)"""
 
 
 @query(f""", {DUELS}, x AS (SELECT game, period, greatest(gf, 0.5) AS a, greatest(ga, 0.5) AS b FROM o),

@@ -4,20 +4,92 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def convolved(parts: Column) -> Column:
-    """The distribution of a sum, from an array of the distributions of its independent terms."""
-    zero = F.array(F.lit(1.0))
+CHANCES = T.ArrayType(T.DoubleType())
+#: Lengths from which two distributions are multiplied by their transforms, and the parts that a key's terms are dealt into.
+LONG, PARTS = 512, (4096, 64, 1)
 
-    def add(sum_: Column, term: Column) -> Column:
-        length = F.size(sum_) + F.size(term) - 1
-        at = lambda a, i: F.coalesce(F.get(a, i), F.lit(0.0))
-        return F.transform(F.sequence(F.lit(0), length - 1), lambda k: F.aggregate(F.sequence(F.lit(0), F.size(term) - 1), F.lit(0.0), lambda s, j: s + at(term, j) * F.when(k >= j, at(sum_, k - j)).otherwise(0.0)))
 
-    return F.aggregate(parts, zero, add)
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distribution of the sum of two independent counts; long ones by fast Fourier transforms, exact to about 1e-16."""
+    n = len(a) + len(b) - 1
+    if min(len(a), len(b)) < LONG:
+        return np.convolve(a, b)
+    size = 1 << (n - 1).bit_length()
+    return np.maximum(np.fft.irfft(np.fft.rfft(a, size) * np.fft.rfft(b, size), size)[:n], 0.0)
+
+
+def product_of(parts: list[np.ndarray]) -> np.ndarray:
+    """The distribution of a sum of many, in a tree, so that lengths stay alike."""
+    while len(parts) > 1:
+        parts = [product(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0] if parts else np.ones(1)
+
+
+def binomial(p: float, n: int) -> np.ndarray:
+    """The distribution of n equal chances, by its ratio from one count to the next, from the likeliest outwards."""
+    if p <= 0 or p >= 1:
+        out = np.zeros(n + 1)
+        out[n if p >= 1 else 0] = 1.0
+        return out
+    top = min(int((n + 1) * p), n)
+    k = np.arange(n)
+    steps = np.log(n - k) - np.log(k + 1) + math.log(p) - math.log1p(-p)  # ln of chance(k + 1) / chance(k)
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    out = np.exp(logs - logs[top])
+    return out / out.sum()
+
+
+@F.pandas_udf(CHANCES)
+def equal_chances(p: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([binomial(a, b) for a, b in zip(p, n)])
+
+
+@F.pandas_udf(CHANCES)
+def multiplied(parts: pd.Series) -> pd.Series:
+    return pd.Series([product_of([np.asarray(x) for x in group]) for group in parts])
+
+
+@F.pandas_udf(CHANCES)
+def powered(d: pd.Series, n: pd.Series) -> pd.Series:
+    """The distribution of the sum of n counts of one distribution, by squaring."""
+
+    def power(x: np.ndarray, n: int) -> np.ndarray:
+        out = np.ones(1)
+        while n:
+            out = product(out, x) if n & 1 else out
+            n >>= 1
+            x = product(x, x) if n else x
+        return out
+
+    return pd.Series([power(np.asarray(x), int(k)) for x, k in zip(d, n)])
+
+
+def success_distributions(rows: DataFrame, keys: list[str], chance: str) -> DataFrame:
+    """``keys, d``: the distribution of how many of a key's independent chances come true.
+
+    Equal chances are counted first; the distributions of different ones are multiplied in parts of a key, then parts of parts, so a
+    key that has most rows is many tasks' work until the last products, which are as long as its distribution.
+    """
+    d = rows.groupBy(*keys, chance).agg(F.count("*").cast("int").alias("_n"))
+    d = d.select(*keys, F.pmod(F.xxhash64(chance), F.lit(PARTS[0])).alias("_part"), equal_chances(F.col(chance), F.col("_n")).alias("d"))
+    for parts in PARTS:
+        d = d.groupBy(*keys, F.pmod("_part", F.lit(parts)).alias("_part")).agg(F.collect_list("d").alias("d")).select(*keys, "_part", multiplied("d").alias("d"))
+    return d.drop("_part")
+
+
+def mean_of(d: Column) -> Column:
+    return F.aggregate(F.transform(d, lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
+
+
+def total(d: Column) -> Column:
+    return F.aggregate(d, F.lit(0.0), lambda a, x: a + x)
 
 
 def poisson_chance(k: Column, mean: Column) -> Column:

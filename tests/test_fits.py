@@ -104,8 +104,9 @@ def test_defence_is_found():
 def test_tails_and_posteriors(spark):
     p = [0.1, 0.5, 0.9, 0.3]
     every = [(sum(o), math.prod(q if x else 1 - q for q, x in zip(p, o))) for o in itertools.product((0, 1), repeat=4)]
-    for g in range(5):
-        assert np.allclose(fits.tails(p, g), (sum(v for k, v in every if k >= g), sum(v for k, v in every if k <= g)))
+    shots = spark.createDataFrame([(g, q, int(i < g)) for g in range(5) for i, q in enumerate(p)], "player long, p double, goal int")
+    for g, *found in fits.finishing_tails(shots).collect():
+        assert np.allclose(found, (sum(v for k, v in every if k >= g), sum(v for k, v in every if k <= g)))
     act = spark.createDataFrame([(1, "click")] * 4 + [(1, "view")] * 2, "player long, action string")
     r = significance.posterior(act, 2.0, 3.0).first()
     assert abs(r["value"] - 600 / 11) < 1e-9 and abs(special.beta_inc(6, 5, r["low"] / 100) - 0.05) < 1e-9 and abs(special.beta_inc(6, 5, r["high"] / 100) - 0.95) < 1e-9
@@ -137,3 +138,23 @@ def test_modularity_of_two_cliques(spark):
     e = spark.createDataFrame([(a, b, 1.0) for c in (0, 3) for a, b in itertools.permutations(range(c, c + 3), 2)], "src long, dst long, w double")
     m = spark.createDataFrame([(i, i // 3) for i in range(6)], "node long, community long")
     assert abs(network.modularity(e, m).first()["q"] - 0.5) < 1e-12
+
+
+def test_distributions_of_many_chances(spark):
+    """One key with most rows, equal and certain chances, against term by term."""
+    from stintlake.plans import distributions as D
+
+    rng = np.random.default_rng(6)
+    p = [*rng.random(900), *[0.25] * 700, 0.0, 1.0]
+    df = spark.createDataFrame([("hot", float(q)) for q in p] + [("one", 0.5)], "k string, p double").repartition(5)
+    got = {r["k"]: r["d"] for r in D.success_distributions(df, ["k"], "p").collect()}
+    want = np.ones(1)
+    for q in p:
+        want = np.append(want, 0.0) * (1 - q) + np.append(0.0, want) * q
+    assert np.allclose(got["hot"], want, atol=1e-13) and got["one"] == [0.5, 0.5]
+    assert np.allclose(D.binomial(0.3, 5), [math.comb(5, k) * 0.3**k * 0.7 ** (5 - k) for k in range(6)])
+    r = spark.createDataFrame([([0.2, 0.3, 0.5], 700)], "d array<double>, n int").select(D.powered("d", "n")).first()[0]
+    want = np.ones(1)
+    for _ in range(700):
+        want = np.convolve(want, [0.2, 0.3, 0.5])
+    assert np.allclose(r, want, atol=1e-13)
