@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from stintlake.functions import network as N
 from stintlake.functions import regression as R
 from stintlake.functions import special as S
+from stintlake.functions.sparse_fit import Fits, Sparse, numbered_rows
+from stintlake.functions.stint_model import TEST_PENALTY, plain_start, rank_of
 from stintlake.operators import aggregates as A
 from stintlake.operators import ordered as O
 from stintlake.operators import intervals as I
@@ -19,6 +21,7 @@ from stintlake.plans.details import verdict
 from stintlake.plans.models import kind_changes
 from stintlake.plans.rink_game import GOALS, STINTS, rebuilt
 from stintlake.plans.season import TOI, ice_time
+from stintlake.session import written
 
 QUERIES, ORACLES = {}, {}
 
@@ -323,28 +326,31 @@ def quasi_independence_test(spark, sf_dir):
 
 
 
-def units_differ(obs: DataFrame, unit: str, y: str, hours: str, games: list, units: list) -> tuple[float, float]:
+def units_differ(obs: DataFrame, unit: str, y: str, hours: str) -> tuple[float, int]:
     """Deviance that unit terms take from a Poisson model with a level for each game, and its degrees of freedom.
 
-    obs: game, the unit, a count and its exposure. Both fits are sums over the rows with a ridge of 1e-4.
+    obs: game, the unit, a count and its exposure. Games and units are terms of sparse fits with a small ridge, so there may be many;
+    the degrees of freedom are worked out for up to 2,000 of both.
     """
-    level = [F.when(F.col("game") == g, 1.0).otherwise(0.0) for g in games]
-    term = [F.when(F.col(unit) == u, 1.0).otherwise(0.0) for u in units[1:]]
-    offset = F.ln(F.greatest(F.col(hours), F.lit(1e-6)))
-    small = R.glm(obs, level, F.col(y), "poisson", offset, np.full(len(level), 1e-4))
-    large = R.glm(obs, [*level, *term], F.col(y), "poisson", offset, np.full(len(level) + len(term), 1e-4))
-    rank = lambda x: np.linalg.matrix_rank(R.gram(obs, x, F.lit(0.0))[0], tol=1e-9)
-    return float(max(small.deviance - large.deviance, 0.0)), float(rank([*level, *term]) - rank(level))
+    game, own = F.concat(F.lit("game "), F.col("game").cast("string")), F.concat(F.lit("unit "), F.col(unit).cast("string"))
+    logliks, ranks = [], []
+    for members in (F.array(game), F.array(game, own)):
+        rows, terms, _ = numbered_rows(obs.select("game", members.alias("members"), F.col(y).alias("y_for"), F.lit(0).alias("y_against"), F.greatest(hours, F.lit(1e-6)).alias("hours")))
+        model = Sparse(rows, terms.count())
+        fits = Fits(np.array([0]), np.array([TEST_PENALTY]), np.array([-1]))
+        beta = model.fit(fits, plain_start(model, fits))
+        logliks.append(model.gradient(beta, fits)[0][0] + 0.5 * TEST_PENALTY * (beta[1:] ** 2).sum())
+        ranks.append(rank_of(model))
+    return float(max(2 * (logliks[1] - logliks[0]), 0.0)), ranks[1] - ranks[0]
 
 
 @query()
 def units_differ_test(spark, sf_dir):
-    """Whether the kinds of day differ between weeks' levels: counts of five-day blocks by period and team, tested as units."""
-    a = actions(spark, sf_dir).withColumn("game", F.floor(F.col("game") / 10)).withColumn("unit", F.col("team") * 3 + F.col("period"))
-    obs = a.groupBy("game", "unit").agg(F.count_if(F.col("action") == "click").alias("y"), (F.sum("value") / 1000).alias("hours")).cache()
-    games, units = (sorted(r[0] for r in obs.select(c).distinct().collect()) for c in ("game", "unit"))
-    delta, df = units_differ(obs, "unit", "y", "hours", games, units)
-    return spark.createDataFrame([(delta, df, S.chi2_sf(delta, df) if df > 0 else None)], "delta double, df double, p double")
+    """Whether the thirds of a team's days differ in clicks once each day has its own level."""
+    a = actions(spark, sf_dir).withColumn("unit", F.col("team") * 3 + F.col("period"))
+    obs = written(a.groupBy("game", "unit").agg(F.count_if(F.col("action") == "click").alias("y"), (F.sum("value") / 1000).alias("hours")), "obs")
+    delta, df = units_differ(obs, "unit", "y", "hours")
+    return spark.createDataFrame([(delta, df, S.chi2_sf(delta, float(df)) if df > 0 else None)], "delta double, df long, p double")
 
 
 @query(""", u AS (SELECT player, count(*) FILTER (WHERE action = 'click') AS s, count(*) FILTER (WHERE action = 'view') AS f FROM act GROUP BY player) SELECT player, round(100.0 * (s + 12) / (s + f + 30), 6) AS value FROM u""")

@@ -67,12 +67,21 @@ def test_poisson_with_levels(spark):
     df = spark.createDataFrame([tuple(map(float, r)) for r in zip(game, unit, y, hours)], "game double, unit double, y double, hours double").cache()
     g, u, off = (game[:, None] == np.arange(4)) * 1.0, (unit[:, None] == np.arange(3))[:, 1:] * 1.0, np.log(hours)
     small, large = poisson(g, y, off, np.full(4, 1e-4)), poisson(np.c_[g, u], y, off, np.full(6, 1e-4))
-    delta, dof = significance.units_differ(df, "unit", "y", "hours", [0.0, 1.0, 2.0, 3.0], [0.0, 1.0, 2.0])
+    delta, dof = significance.units_differ(df, "unit", "y", "hours")
     assert dof == 2 and abs(delta - (small[2] - large[2])) < 1e-5
-    fit, v, marginal = fits.random_intercept(df, [F.lit(1.0)], F.col("y"), F.ln("hours"), "game", [0.0, 1.0, 2.0, 3.0], [0.0])
+    fit, v = fits.random_intercept(df, [F.lit(1.0)], F.col("y"), F.ln("hours"), "game", [0.0])
     b, mu, _ = poisson(np.c_[np.ones(60), g], y, off, np.r_[0, np.full(4, 1 / v)])
     ll = (y * np.log(mu) - mu).sum()
-    assert v in fits.VARIANCES and np.allclose(fit.beta, b, atol=1e-6)
+    found = {r["game"]: (r["level"], r["se"]) for r in fit.levels.collect()}
+    design = np.c_[np.ones(60), g]
+    se = np.sqrt(np.diag(np.linalg.inv(design.T @ (mu[:, None] * design) + np.diag(np.r_[0, np.full(4, 1 / v)]))))
+    assert v in fits.VARIANCES and np.allclose([fit.beta[0], *(found[i][0] for i in range(4))], b, atol=1e-6)
+    assert np.allclose([fit.se[0], *(found[i][1] for i in range(4))], se, atol=1e-6)
+    marginal, best = fit.marginal, []
+    for other in fits.VARIANCES:
+        c, m, _ = poisson(design, y, off, np.r_[0, np.full(4, 1 / other)])
+        best.append(((y * np.log(m) - m).sum() - (c[1:] ** 2).sum() / (2 * other) - 0.5 * np.log1p(other * (g.T @ m)).sum()))
+    assert fits.VARIANCES[int(np.argmax(best))] == v
     assert abs(marginal - (ll - (b[1:] ** 2).sum() / (2 * v) - 0.5 * np.log1p(v * (g.T @ mu)).sum())) < 1e-5
 
 
@@ -158,3 +167,16 @@ def test_distributions_of_many_chances(spark):
     for _ in range(700):
         want = np.convolve(want, [0.2, 0.3, 0.5])
     assert np.allclose(r, want, atol=1e-13)
+
+
+def test_levels_of_a_hundred_thousand_groups(spark):
+    """As many levels as rows of sums: the equations of all terms hold, and planted effects are found."""
+    from stintlake.functions.levels import fit_levels
+
+    rows = spark.range(300_000).select((F.col("id") % 100_000).alias("g"), (F.rand(5) < 0.5).cast("double").alias("x"), F.rand(6).alias("r"))
+    mu = F.exp(0.5 + 0.7 * F.col("x") + F.when(F.col("g") % 2 == 0, 0.4).otherwise(-0.4))
+    obs = rows.withColumn("y", F.floor(mu) + (F.col("r") < mu - F.floor(mu)).cast("int"))
+    fit = fit_levels(obs, [F.lit(1.0), F.col("x")], F.col("y"), F.lit(0.0), "g", [5.0], [0.0, 0.0])[0]
+    assert fit.levels.count() == 100_000 and abs(fit.beta[1] - 0.7) < 0.02
+    even, odd = (fit.levels.filter(F.col("g") % 2 == i).agg(F.avg("level")).first()[0] for i in (0, 1))
+    assert even > 0.15 > -0.15 > odd and abs(fit.levels.agg(F.sum("level")).first()[0]) < 1  # no penalty on the intercept: levels add to none
