@@ -108,14 +108,18 @@ def hamming_top_k(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int =
 
 
 def op1_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 10 sign codes nearest to that of every embedding whose id is divisible by 100, against all rows."""
+    """The 10 sign codes nearest to that of every embedding whose id is divisible by 100, against all rows.
+
+    Vectors that are null, have fewer than 64 components or hold a null one take no part; of longer ones the first 64 count.
+    """
     usable = F.size("embedding") >= 64
     rows = table(spark, sf_dir, "embeddings").filter(usable & ~F.exists("embedding", lambda v: v.isNull())).select("vec_id", sign_code("embedding").alias("code"))
     return hamming_top_k(rows, rows.filter("vec_id % 100 = 0"))
 
 
 ORACLE = """
-WITH r AS (SELECT vec_id, list_transform(embedding[1:64], lambda v: CASE WHEN v > 0 THEN 1 ELSE 0 END) AS code FROM embeddings),
+WITH r AS (SELECT vec_id, list_transform(embedding[1:64], lambda v: CASE WHEN v > 0 THEN 1 ELSE 0 END) AS code FROM embeddings
+  WHERE len(embedding) >= 64 AND len(list_filter(embedding, lambda v: v IS NULL)) = 0),
 d AS (
   SELECT q.vec_id AS query_id, c.vec_id,
          CAST(list_sum(list_transform(range(1, 65), lambda i: abs(q.code[i] - c.code[i]))) AS INTEGER) AS distance

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -138,9 +139,30 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosine(c: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """The cosine of each row of c and q as the nearest double: worked out with more digits, so that multiples of a vector tie."""
+    """The cosine of each row of c and q as the double nearest to it, so that all multiples of a vector tie: from long doubles where their
+    error can't reach another double, else from integers."""
     c, q = c.astype(np.longdouble), q.astype(np.longdouble)
-    return ((c * q).sum(axis=1) / np.sqrt((c * c).sum(axis=1) * (q * q).sum(axis=-1))).astype(np.float64)
+    norm = np.sqrt((c * c).sum(axis=1) * (q * q).sum(axis=-1))
+    found, most = (c * q).sum(axis=1) / norm, np.abs(c * q).sum(axis=1) / norm
+    error = (most + np.abs(found)) * ((c.shape[1] + 2) * np.longdouble(2) ** -64)
+    out = found.astype(np.float64)
+    for i in np.flatnonzero((found - error).astype(np.float64) != (found + error).astype(np.float64)):
+        out[i] = exact_cosine(c[i].tolist(), (q[i] if q.ndim > 1 else q).tolist())
+    return out
+
+
+def exact_cosine(c: list[float], q: list[float]) -> float:
+    """The double nearest to a cosine, by a root of 200 binary places."""
+
+    def whole(v: list[float]) -> list[int]:
+        parts = [float(x).as_integer_ratio() for x in v]
+        scale = max(d for _, d in parts)  # all are powers of two
+        return [n * (scale // d) for n, d in parts]
+
+    c, q = whole(c), whole(q)
+    dot, squares = sum(x * y for x, y in zip(c, q)), sum(x * x for x in c) * sum(x * x for x in q)
+    root = math.isqrt((dot * dot << 400) // squares)
+    return math.copysign(float(Fraction(root, 1 << 200)), dot) if root else 0.0
 
 
 def best_members(c: np.ndarray, first: np.ndarray, q: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

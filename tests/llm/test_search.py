@@ -98,3 +98,18 @@ def test_sign_code(spark):
     want = sum(1 << i for i in range(0, 64, 3))
     assert df.first()["c"] == (want - (1 << 64) if want >> 63 else want)
     assert df.select(F.lit(1)).count() == 1
+
+
+def test_codes_of_odd_vectors_take_no_part(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((40, 64)).astype("f4").tolist()
+    rows = [(i, v, 0, "k", "c", 1) for i, v in enumerate(x)] + [(100, None, 0, "k", "c", 1), (200, [1.0] * 63, 0, "k", "c", 1), (300, [None] + [1.0] * 63, 0, "k", "c", 1), (400, x[3] + [5.0], 0, "k", "c", 1)]
+    df = spark.createDataFrame(rows, SCHEMA + ", code string, distance int").repartition(3)  # names that the operator uses too
+    usable = df.filter("size(embedding) >= 64").filter(~F.exists("embedding", lambda v: v.isNull()))
+    codes = usable.select("vec_id", hamming_search.sign_code("embedding").alias("code"))
+    got = hamming_search.hamming_top_k(codes, codes.filter("vec_id % 100 = 0"), k=5).collect()
+    bits = {i: np.array(v[:64]) > 0 for i, v, *_ in rows if v and len(v) >= 64 and None not in v}
+    for q in (0, 400):
+        want = sorted((int((bits[q] != b).sum()), i) for i, b in bits.items() if i != q)[:5]
+        assert [(r["distance"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+    assert {r["query_id"] for r in got} == {0, 400}
