@@ -56,7 +56,11 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are left, packed into sequences of at most 2048 tokens; a null text counts as empty."""
+    """The documents that are left, packed into sequences of at most 2048 tokens.
+
+    A null or empty text is its end id alone; rows with null or repeated ids are packed as documents of their own; columns
+    other than doc_id and text are not looked at, whatever their names; an empty table gives no rows.
+    """
     import public_tokenizers
 
     ship_package(spark)
