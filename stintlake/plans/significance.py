@@ -158,25 +158,27 @@ def unit_vs_rest(spark, sf_dir):
     return t.select("player", "team", F.round(100.0 * F.col("k") / F.col("n") - 100.0 * F.col("q"), 6).alias("effect"), F.round("p", 6).alias("p"), F.round("adjusted", 6).alias("adjusted"), verdict(F.col("adjusted")).alias("verdict"))
 
 
-PAIR_GAMES = """pl AS (SELECT DISTINCT player, team, game, period FROM act), att0 AS (SELECT game, period, team, count(*) FILTER (WHERE action = 'click') AS f, count(*) FILTER (WHERE action = 'view') AS a FROM act GROUP BY ALL),
-pr AS (SELECT DISTINCT player AS a, player + 2 AS b, team FROM act WHERE player + 2 IN (SELECT player FROM act)),
-ui AS (SELECT pr.a, pr.b, x.game, x.period, pr.team, count(*) AS tog FROM pr JOIN pl x ON x.player IN (pr.a, pr.b) GROUP BY ALL),
-pg AS (SELECT ui.a, ui.b, ui.game, sum(CASE WHEN tog = 2 THEN f ELSE 0 END) AS tf, sum(CASE WHEN tog = 2 THEN att0.a ELSE 0 END) AS ta, sum(CASE WHEN tog = 1 THEN f ELSE 0 END) AS af, sum(CASE WHEN tog = 1 THEN att0.a ELSE 0 END) AS aa FROM ui JOIN att0 ON att0.game = ui.game AND att0.period = ui.period AND att0.team = ui.team GROUP BY ui.a, ui.b, ui.game)"""
+PAIR_GAMES = """pl AS (SELECT DISTINCT player, team, game, period FROM act), att0 AS (SELECT game, period, team, count(*) FILTER (WHERE action = 'click') AS f, count(*) FILTER (WHERE action = 'view') AS g FROM act GROUP BY ALL),
+pa AS (SELECT pl.*, f, g FROM pl JOIN att0 USING (game, period, team)), al AS (SELECT player, team, game, sum(f) AS f, sum(g) AS g FROM pa GROUP BY ALL),
+tg AS (SELECT x.player AS a, y.player AS b, x.team, x.game, sum(x.f) AS tf, sum(x.g) AS ta FROM pa x JOIN pa y ON y.game = x.game AND y.period = x.period AND y.team = x.team AND x.player < y.player GROUP BY ALL),
+pg AS (SELECT tg.a, tg.b, tg.game, sum(tf) AS tf, sum(ta) AS ta, sum(x.f + y.f - 2 * tf) AS af, sum(x.g + y.g - 2 * ta) AS aa FROM tg JOIN al x ON x.player = tg.a AND x.team = tg.team AND x.game = tg.game JOIN al y ON y.player = tg.b AND y.team = tg.team AND y.game = tg.game GROUP BY ALL)"""
 
 
 def pair_games(spark, sf_dir) -> DataFrame:
-    """``a, b, game, tf, ta, af, aa``: attempts for and against of the periods that both of two neighbours play, and of those of one only."""
+    """``a, b, game, tf, ta, af, aa`` of all pairs of a team in the games that they share a period of: attempts for and against of the
+    periods that both play, and of those that one of them plays (what both have in all, less twice what they share)."""
     act = actions(spark, sf_dir)
-    pl = act.select("player", "team", "game", "period").distinct()
     kind = F.col("action")
     at = act.groupBy("game", "period", "team").agg(F.count_if(kind == "click").alias("f"), F.count_if(kind == "view").alias("g"))
-    sides = F.explode(F.array(F.struct(F.col("player").alias("a"), (F.col("player") + 2).alias("b")), F.struct((F.col("player") - 2).alias("a"), F.col("player").alias("b"))))
-    known = act.select("player").distinct()
-    pairs = pl.select("game", "period", "team", sides.alias("p")).select("game", "period", "team", "p.a", "p.b")
-    pairs = pairs.join(known.withColumnRenamed("player", "a"), "a", "left_semi").join(known.withColumnRenamed("player", "b"), "b", "left_semi")
-    ui = pairs.groupBy("a", "b", "game", "period", "team").agg(F.count("*").alias("both"))
-    part = lambda c, n: F.sum(F.when(F.col("both") == n, F.col(c)).otherwise(0))
-    return ui.join(at, ["game", "period", "team"]).groupBy("a", "b", "game").agg(part("f", 2).alias("tf"), part("g", 2).alias("ta"), part("f", 1).alias("af"), part("g", 1).alias("aa"))
+    played = written(act.select("player", "team", "game", "period").distinct().join(at, ["game", "period", "team"]), "played")
+    alone = played.groupBy("player", "team", "game").agg(F.sum("f").alias("f"), F.sum("g").alias("g"))
+    of = lambda n: alone.select(F.col("player").alias(n), "team", "game", F.col("f").alias(f"f{n}"), F.col("g").alias(f"g{n}"))
+    other = played.select("game", "period", "team", F.col("player").alias("b"))
+    both = played.withColumnRenamed("player", "a").join(other, ["game", "period", "team"]).filter("a < b")
+    both = both.groupBy("a", "b", "team", "game").agg(F.sum("f").alias("tf"), F.sum("g").alias("ta"))
+    both = both.join(of("a"), ["a", "team", "game"]).join(of("b"), ["b", "team", "game"])
+    apart = lambda x, t: F.sum(F.col(f"{x}a") + F.col(f"{x}b") - 2 * F.col(t))
+    return both.groupBy("a", "b", "game").agg(F.sum("tf").alias("tf"), F.sum("ta").alias("ta"), apart("f", "tf").alias("af"), apart("g", "ta").alias("aa"))
 
 
 @query(f""", {PAIR_GAMES}, d AS (SELECT a, b, 100.0 * tf / (tf + ta) - 100.0 * af / (af + aa) AS d FROM pg WHERE tf + ta >= 2 AND af + aa > 0), x AS (SELECT a, b, CAST(count(*) AS BIGINT) AS n, avg(d) AS mean, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM d GROUP BY a, b HAVING count(*) >= 3 AND stddev_samp(d) > 0)
