@@ -1,15 +1,14 @@
-"""Season reports from rebuilt games: team record and percentages, league measures, focus areas, goals saved, trends."""
+"""Season reports from rebuilt games: team record and percentages, league measures, focus areas, trends."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stintlake.functions import rink
 from stintlake.operators import aggregates as A
 from stintlake.plans import game as G
 from stintlake.plans.adapter import GAME_SQL, SQL, actions
-from stintlake.plans.rink_game import GOALIE_SQL, SUMMARY, rebuilt
+from stintlake.plans.rink_game import SUMMARY, rebuilt
 
 QUERIES, ORACLES = {}, {}
 
@@ -88,22 +87,6 @@ def focus_areas(spark, sf_dir):
     return s.select("team", "area", F.col("n").alias("events"), F.round("share", 5).alias("share"), F.when(F.col("n") < 10, "Watch").when(gap >= 8, "Strength").when(gap <= -8, "WorkOn").otherwise("Watch").alias("verdict"))
 
 
-CHANCE = "1 / (1 + exp(-(2.1 - 1.3 * ln(greatest(sqrt((89 - along) ** 2 + across ** 2), 3)) - 0.4 * atan2(abs(across), 89 - along))))"
-
-
-@query(f""", {GOALIE_SQL}, xs AS (SELECT game, team, sum({CHANCE}) AS xg FROM (SELECT *, CAST((place % 178) - 89 AS DOUBLE) AS along, CAST((place * 7 % 85) - 42 AS DOUBLE) AS across FROM gm WHERE action = 'Shots' AND place IS NOT NULL) GROUP BY game, team),
-gs0 AS (SELECT gb.game, gb.team, gb.player, goals_against, xg * shots_against / nullif(sum(shots_against) OVER (PARTITION BY gb.game, gb.team), 0) AS xga FROM gb JOIN xs ON xs.game = gb.game AND xs.team = 1 - gb.team) SELECT game, team, player, round(xga, 6) AS xga, round(xga - goals_against, 6) AS saved FROM gs0""")
-def goals_saved(spark, sf_dir):
-    """What the other side's shots let expect, shared among a side's goalkeepers by the shots that they faced, less their goals against."""
-    rows = rebuilt(spark, sf_dir)
-    along, across = ((F.col("place") % 178) - 89).cast("double"), ((F.col("place") * 7 % 85) - 42).cast("double")
-    p = 1 / (1 + F.exp(-(2.1 - 1.3 * F.ln(rink.distance(along, across)) - 0.4 * rink.angle(along, across))))
-    xg = rows.filter("action = 'Shots' and place is not null").groupBy("file", (1 - F.col("team")).alias("team")).agg(F.sum(p).alias("xg"))
-    g = G.goalie_box(rows).join(xg, ["file", "team"])
-    xga = F.col("xg") * A.ratio(F.col("shots_against"), F.sum("shots_against").over(Window.partitionBy("file", "team")))
-    return g.select(F.col("file").alias("game"), "team", F.col("player_id").alias("player"), F.round(xga, 6).alias("xga"), F.round(xga - F.col("goals_against"), 6).alias("saved"))
-
-
 @query(""", d AS (SELECT player, game, sum(value) AS v FROM act GROUP BY player, game), lo AS (SELECT * FROM d WHERE game % 4 = 0), hi AS (SELECT player, game, v + 1 AS v FROM d WHERE NOT EXISTS (SELECT 1 FROM lo WHERE lo.player = d.player AND abs(lo.game - d.game) <= 1)), u AS (SELECT *, 'loaded' AS source FROM lo UNION ALL SELECT *, 'history' FROM hi)
 SELECT player, CAST(count(*) AS BIGINT) AS games, CAST(count(*) FILTER (WHERE source = 'history') AS BIGINT) AS history, round(regr_slope(v, game - 19700), 3) AS slope FROM u GROUP BY player HAVING count(*) > 1""", SQL)
 def trends(spark, sf_dir):

@@ -6,30 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from stintlake.functions import network, special
-from stintlake.plans import fits, significance
+from stintlake.plans import fits, significance, xg
 from stintlake.sources import layout
 
 
-def test_logistic_to_totals_is_at_its_optimum(spark):
-    rng = np.random.default_rng(3)
-    x, group = rng.normal(size=(300, 2)), rng.integers(0, 40, 300)
-    p = 1 / (1 + np.exp(-(-1 + x @ [0.8, -0.4])))
-    total = np.array([p[group == g].sum() * rng.uniform(0.7, 1.3) for g in range(40)])
-    df = spark.createDataFrame([(float(a), float(b), int(g), float(total[g])) for (a, b), g in zip(x, group)], "a double, b double, g int, t double")
-    beta = fits.logistic_to_totals(df, ["a", "b"], ["g"], "t")
-
-    def objective(b):
-        q = 1 / (1 + np.exp(-(b[0] + x @ b[1:])))
-        return sum((total[g] - q[group == g].sum()) ** 2 / (total[g] + fits.WEIGHT_FLOOR) for g in set(group)) + fits.SLOPE_RIDGE * (b[1:] ** 2).sum()
-
-    best = objective(beta)
-    for i in range(3):
-        for h in (1e-3, -1e-3):
-            assert objective(beta + h * np.eye(3)[i]) >= best - 1e-9
-    assert np.abs(beta - [-1, 0.8, -0.4]).max() < 0.3
-    assert fits.logistic_to_totals(df.limit(0), ["a", "b"], ["g"], "t") is None
-
-
 def test_index_model_equals_plain_folds(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(120, 3)) * [1, 5, 0.2] + 3
@@ -114,7 +94,7 @@ def test_tails_and_posteriors(spark):
     p = [0.1, 0.5, 0.9, 0.3]
     every = [(sum(o), math.prod(q if x else 1 - q for q, x in zip(p, o))) for o in itertools.product((0, 1), repeat=4)]
     shots = spark.createDataFrame([(g, q, int(i < g)) for g in range(5) for i, q in enumerate(p)], "player long, p double, goal int")
-    for g, *found in fits.finishing_tails(shots).collect():
+    for g, *found in xg.finishing_tails(shots).collect():
         assert np.allclose(found, (sum(v for k, v in every if k >= g), sum(v for k, v in every if k <= g)))
     act = spark.createDataFrame([(1, "click")] * 4 + [(1, "view")] * 2, "player long, action string")
     r = significance.posterior(act, 2.0, 3.0).first()
