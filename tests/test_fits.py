@@ -65,10 +65,11 @@ def test_poisson_with_levels(spark):
     assert abs(marginal - (ll - (b[1:] ** 2).sum() / (2 * v) - 0.5 * np.log1p(v * (g.T @ mu)).sum())) < 1e-5
 
 
-def test_betweenness_counts_all_shortest_routes(spark):
+@pytest.mark.parametrize("find", [fits.betweenness, network.betweenness, lambda e: network.betweenness(e, 12)], ids=["tasks", "joins", "batches"])
+def test_betweenness_counts_all_shortest_routes(spark, find):
     rng = np.random.default_rng(2)
     w = {(a, b): float(rng.integers(1, 4)) for a in range(6) for b in range(6) if a != b and rng.random() < 0.5}
-    got = {r["node"]: r["centrality"] for r in fits.betweenness(spark.createDataFrame([(a, b, v) for (a, b), v in w.items()], "src long, dst long, w double")).collect()}
+    got = {r["node"]: r["centrality"] for r in find(spark.createDataFrame([(a, b, v) for (a, b), v in w.items()], "src long, dst long, w double")).collect()}
     want = dict.fromkeys(range(6), 0.0)
     for s, t in itertools.permutations(range(6), 2):
         routes = [(s, *m, t) for n in range(5) for m in itertools.permutations(set(range(6)) - {s, t}, n)]
@@ -80,6 +81,16 @@ def test_betweenness_counts_all_shortest_routes(spark):
     assert all(abs(got.get(v, 0.0) - want[v] / 20) < 1e-9 for v in want)
 
 
+def test_large_graphs_are_searched_by_joins(spark, monkeypatch):
+    edges = spark.createDataFrame([(a, (a + step) % 12, float(1 + (a * step) % 3)) for a in range(12) for step in (1, 5)] + [(20, 20, 1.0), (21, 22, 0.0)], "src long, dst long, w double")
+    few = {r["node"]: r["centrality"] for r in fits.betweenness(edges).collect()}
+    monkeypatch.setattr(fits, "MOST_EDGES", 3)
+    many = {r["node"]: r["centrality"] for r in fits.betweenness(edges).collect()}
+    assert set(few) == set(many) == set(range(12)) | {20, 21, 22} and all(abs(few[v] - many[v]) < 1e-12 for v in few)
+    assert max(few.values()) > 0
+    assert network.betweenness(edges.limit(0)).count() == 0
+
+
 def test_defence_is_found():
     rng = np.random.default_rng(1)
     defence, forwards = [f"d{i}" for i in range(6)], [f"f{i}" for i in range(9)]
