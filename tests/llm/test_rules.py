@@ -25,6 +25,34 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0), rules).count() == 0
 
 
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+def test_wrapped_notices(spark, ends):
+    import textwrap
+
+    text = dict(license_scan.SENTENCES)
+    mit = [text["mit-grant-whole"], text["mit-notice"], text["mit-as-is-whole"]]
+    wrap = lambda parts, prefix="": "\n\n".join(textwrap.fill(p, 70, initial_indent=prefix, subsequent_indent=prefix) for p in parts)
+    texts = {
+        1: "Copyright 2020 Somebody\n\n" + wrap(mit),
+        2: wrap([text["gpl-free"], text["gpl-warranty-whole"]]) + "\n\nMore.",
+        3: "\n#\n".join(textwrap.fill(p, 60, initial_indent="# ", subsequent_indent="# ") for p in [text["apache-2-use"]]),
+        4: "\n".join(mit),  # not wrapped: a match of the first cut alone
+        5: wrap([mit[0], "Something else.", mit[1], mit[2]]),  # broken sequence
+        6: wrap([text["gpl-2-free"] + " " + text["gpl-warranty-whole"]]),
+        7: "\n\nLicensed under the MIT License.\n",
+    }
+    df = spark.createDataFrame([(d, t.replace("\n", ends)) for d, t in texts.items()] + [(8, None), (9, "")], "doc_id long, text string")
+    s = spark.createDataFrame(list(license_scan.SENTENCES), "sid string, text string")
+    r = spark.createDataFrame([(a, list(b)) for a, b in license_scan.RULES], "license string, sids array<string>")
+    got = sorted(map(tuple, license_scan.scan(df, s, r).collect()))
+    documents = df.toPandas()  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert got == sorted(con.sql(license_scan.ORACLE).fetchall())
+    assert {(d, name, n, w) for d, name, _, n, w in got} == {(1, "MIT", 3, True), (2, "GPL-3.0-or-later", 2, True), (3, "Apache-2.0", 1, True), (4, "MIT", 3, False), (6, "GPL-2.0-or-later", 2, True), (7, "MIT", 1, False)}
+    assert (1, "MIT", 1, 3, True) in got
+
+
 def test_licences(spark):
     grant, as_is = (t for s, t in license_scan.SENTENCES if s in ("mit-grant", "mit-as-is"))
     short, you, copy = (t for s, t in license_scan.SENTENCES if s in ("apache-2-short", "apache-2-you", "apache-2-copy"))
