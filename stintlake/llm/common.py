@@ -61,11 +61,15 @@ def block_pairs(members: DataFrame, probes: DataFrame, keys: list[str], rows: in
     A bucket with many members or many probes is cut on both sides, and every block of members meets every block of
     probes once: the two frames that return share ``keys`` and ``mb`` and ``pb`` for a cogroup. Buckets that lack
     members or probes are dropped.
+
+    Spark takes exploded rows for as few as the file that they come from, and would broadcast either side whole through the
+    driver: the hints keep all three joins to shuffles, where only the sizes of a partition's buckets are held.
     """
     sizes = (
-        members.groupBy(*keys).agg(F.count("*").alias("_m"))
+        members.groupBy(*keys).agg(F.count("*").alias("_m")).hint("merge")
         .join(probes.groupBy(*keys).agg(F.count("*").alias("_p")), keys)
         .select(*keys, blocks(F.col("_m"), rows).alias("_mn"), blocks(F.col("_p"), rows).alias("_pn"))
+        .hint("shuffle_hash")
     )
     left = (
         members.join(sizes, keys)

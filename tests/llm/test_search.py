@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from stintlake.llm import hamming_search, rp_forest
+from stintlake.llm.common import block_pairs
 
 SCHEMA = "vec_id long, embedding array<float>, label int, key string"
 
@@ -92,6 +93,18 @@ def test_hamming_search_is_exact(spark):
     assert hamming_search.hamming_top_k(df.limit(0), df.limit(0), 7).count() == 0
 
 
+def test_exploded_probes_are_not_broadcast(spark, tmp_path):
+    """A small file whose rows explode looks small to Spark: neither side of a bucket search may go to the driver whole."""
+    spark.range(200).select(F.xxhash64("id").alias("ckey"), F.col("id").alias("first_id")).write.parquet(f"{tmp_path}/codes")
+    codes = spark.read.parquet(f"{tmp_path}/codes")
+    members = codes.withColumn("value", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    probes = codes.filter("first_id < 20").select(F.col("ckey").alias("qkey"), F.explode(F.sequence(F.lit(4), F.lit(50))).alias("value"))
+    left, right = block_pairs(members, probes, ["value"], 64)
+    for side in (left, right):
+        assert "Broadcast" not in side._jdf.queryExecution().executedPlan().toString()
+    assert left.count() == 200 * 4 and right.count() == 20 * 4 * left.select("mb").distinct().count()
+
+
 def test_sign_code(spark):
     v = [1.0 if i % 3 == 0 else -1.0 for i in range(64)]
     df = spark.createDataFrame([(v,)], "embedding array<float>").select(hamming_search.sign_code("embedding").alias("c"))
