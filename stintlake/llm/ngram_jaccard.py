@@ -27,6 +27,10 @@ Defined results: a document without words or text has no shingles and is its own
 shingle has a single shingle of all its words. Rows with a null id take part; their class is the smallest id of those
 they are linked with, null if there is none. Repeated ids are documents of their own that share a node or not by their
 texts. An empty table gives no rows.
+
+Near copies share tokens, so their sets and postings take a small part of their memory in files, and Spark, which goes by the
+files, would broadcast them whole through the driver. Joins of sets, postings and what is exploded from them are therefore
+hinted to be merges.
 """
 
 from __future__ import annotations
@@ -244,7 +248,7 @@ def orders(sets: DataFrame, percent: int, extra: int) -> DataFrame:
     """
     each = sets.select("node", "n", F.explode("tokens").alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    held = each.join(often, "token").groupBy("node", "n").agg(F.collect_list(F.struct("df", "token")).alias("held"))
+    held = each.join(often.hint("merge"), "token").groupBy("node", "n").agg(F.collect_list(F.struct("df", "token")).alias("held"))
     length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0)).cast("long") + 1
     k = F.greatest(F.floor(F.col("n") / extra), F.lit(1))
     keep = F.greatest(length - F.col("at"), F.lit(0)).cast("int")
@@ -285,20 +289,20 @@ def across(post: DataFrame, percent: int) -> DataFrame:
     sizes = post.groupBy("token", "root").agg(F.count("*").alias("m"))
     main = sizes.groupBy("token").agg(F.max(F.struct("m", "root"))["root"].alias("main"), F.count("*").alias("roots"), F.sum("m").alias("m")).filter("roots > 1")
     main = main.select("token", "main", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
-    mixed_tokens = written(post.join(main, "token"), "across")
+    mixed_tokens = written(post.join(main.hint("merge"), "token"), "across")
     x = mixed_tokens.filter("root <> main").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     x = x.withColumn("size", F.explode(F.sequence(size_class(F.col("least")), size_class(F.col("most"))))).alias("x")
     y = mixed_tokens.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("size", size_class(F.col("n"))).alias("y")
     same = (F.col("x.token") == F.col("y.token")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.size") == F.col("y.size"))
     apart = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
     fit = F.col("y.n").between(F.col("x.least"), F.col("x.most")) & F.col("x.n").between(F.col("y.least"), F.col("y.most"))
-    return x.join(y, same & apart & fit).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return x.join(y.hint("merge"), same & apart & fit).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def filtered(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs (a, b) that share enough tokens of their prefixes under the second and the third order."""
     for order in ("second", "third"):
-        one, two = (known.select(F.col("node").alias(c), F.col(order).alias(f"s_{c}"), F.col("k").alias(f"k_{c}")) for c in "ab")
+        one, two = (known.select(F.col("node").alias(c), F.col(order).alias(f"s_{c}"), F.col("k").alias(f"k_{c}")).hint("merge") for c in "ab")
         both = F.size(F.array_intersect("s_a", "s_b")) >= F.least("k_a", "k_b")
         pairs = pairs.join(one, "a").join(two, "b").filter(both).select("a", "b")
     return pairs
@@ -306,8 +310,8 @@ def filtered(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
-    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")).hint("merge")
+    two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")).hint("merge")
     both = F.size(F.array_intersect("ta", "tb"))
     return pairs.join(one, "a").join(two, "b").withColumn("i", both).filter(F.col("i") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
@@ -319,7 +323,7 @@ def links(sets: DataFrame, percent: int, extra: int = 10) -> DataFrame:
     post = written(post.select("token", "node", "n", "at", (F.col("n") - F.col("at") - F.col("i") - 1).alias("left")), "prefixes")
     # every prefix token pairs its nodes with the one that has fewest tokens of its own: the source of copies, if it is there
     pivots = post.groupBy("token").agg(F.min(F.struct("at", "node"))["node"].alias("b"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    stars = post.select("token", "node").join(pivots, "token").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    stars = post.select("token", "node").join(pivots.hint("merge"), "token").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
     found = written(verified(filtered(stars, known), sets, percent), "links")
     # then pairs across the classes found so far
     roots = components(found)
