@@ -63,6 +63,18 @@ def point_in_interval(
     return p.join(i, [*same, low & high], how).drop("_bucket", *[f"_r_{k}" for k in [*keys, "_bucket"]])
 
 
+def holding(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, name: str = "holding") -> DataFrame:
+    """Points with ``name``: how many of the intervals of the same keys hold them (start excluded, end included), by a running count over
+    one order of points, starts and ends, however many intervals lie over one another."""
+    extra = [c for c in points.columns if c not in keys]
+    p = points.select(*keys, F.col(at).alias("_t"), F.lit(0).alias("_step"), F.struct(*extra).alias("_row"))
+    mark = lambda c, step: F.struct(F.col(c).alias("_t"), F.lit(step).alias("_step"))
+    m = intervals.filter(F.col(start) < F.col(end)).select(*keys, F.explode(F.array(mark(start, 1), mark(end, -1))).alias("_m"))
+    m = m.select(*keys, "_m._t", "_m._step", F.lit(None).cast(p.schema["_row"].dataType).alias("_row"))
+    order = Window.partitionBy(*keys).orderBy("_t", F.col("_row").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return p.unionByName(m).withColumn(name, F.sum("_step").over(order)).filter("_row is not null").select(*keys, "_row.*", name)
+
+
 def run_clock(points: DataFrame, stretches: DataFrame, keys: list[str], at: str = "at_us", start: str = "start_us", end: str = "end_us") -> DataFrame:
     """Points with ``clock``: how much of the stretches (disjoint, of the same keys) lies before them.
 

@@ -85,25 +85,55 @@ def with_strength(points: DataFrame, adv: DataFrame, at: str, side: str = "team"
     return j.groupBy(*points.columns).agg(first.alias("_a")).withColumn("strength", F.when(F.col("_a").isNull(), "Even").when(F.col("_a.other"), "ShortHanded").otherwise("PowerPlay")).drop("_a")
 
 
-def goals(rows: DataFrame) -> DataFrame:
-    """Goals in order, a row for each side: ``file, period, row_no, clock_s, by, player_id, team, scored, strength, score_for,
-    score_against, on_ice``; strength and skaters are those a quarter second before.
-    """
+def skaters(rows: DataFrame) -> DataFrame:
+    """``file, team, player_id, start_s, end_s``: when each skater is on, periods that overlap on the clock included once."""
+    return I.interval_union(shifts(rows, True), ["file", "team", "player_id"], "start_s", "end_s").drop("parts")
+
+
+def scores(rows: DataFrame) -> DataFrame:
+    """Goals in order, a row for each side: ``file, period, row_no, by, player_id, clock_s, probe_s, team, scored, score_for,
+    score_against, strength``; strength is that at probe_s, a quarter second before."""
     g = rows.filter("action = 'Goals'").select("file", "period", "row_no", F.col("team").alias("by"), "player_id", "clock_s", (F.col("clock_s") - PROBE_S).alias("probe_s"))
     sides = rows.select("file", "team").distinct()
     g = g.join(sides, "file").withColumn("scored", F.col("by") == F.col("team"))
     order = Window.partitionBy("file", "team").orderBy("clock_s", "row_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     g = g.withColumn("score_for", F.count_if("scored").over(order)).withColumn("score_against", F.count_if(~F.col("scored")).over(order))
-    g = with_strength(g, advantages(rows), "probe_s")
+    return with_strength(g, advantages(rows), "probe_s")
+
+
+def goals(rows: DataFrame) -> DataFrame:
+    """Goals as ``scores`` (without probe_s) with ``on_ice``, the skaters a quarter second before: a list for each goal and side, so where
+    only their number or their plus-minus is wanted, take ``skater_counts`` or ``plus_minus_of``."""
+    g = scores(rows)
     s = shifts(rows, True).select("file", "team", F.col("player_id").alias("on"), "start_s", "end_s")
     on = I.point_in_interval(g, s, ["file", "team"], "probe_s", "start_s", "end_s", width=60, closed="right", how="left")
     return on.groupBy(*[c for c in g.columns if c != "probe_s"]).agg(F.array_sort(F.collect_set("on")).alias("on_ice"))
 
 
+def skater_counts(rows: DataFrame) -> DataFrame:
+    """Goals as ``scores`` with ``skaters``, how many were on."""
+    return I.holding(scores(rows), skaters(rows), ["file", "team"], "probe_s", "start_s", "end_s", "skaters")
+
+
+def worth() -> Column:
+    """What a goal counts for the skaters of a side: own power-play goals and goals against while short-handed don't."""
+    return F.when(F.col("scored") & (F.col("strength") != "PowerPlay"), 1).when(~F.col("scored") & (F.col("strength") != "ShortHanded"), -1).otherwise(0)
+
+
 def plus_minus(found: DataFrame) -> DataFrame:
-    """``file, team, player_id, plus_minus`` of the goals' skaters: own power-play goals and goals against while short-handed don't count."""
-    worth = F.when(F.col("scored") & (F.col("strength") != "PowerPlay"), 1).when(~F.col("scored") & (F.col("strength") != "ShortHanded"), -1).otherwise(0)
-    return found.select("file", "team", worth.alias("w"), F.explode("on_ice").alias("player_id")).groupBy("file", "team", "player_id").agg(F.sum("w").alias("plus_minus"))
+    """``file, team, player_id, plus_minus`` of the skaters listed by ``goals``."""
+    return found.select("file", "team", worth().alias("w"), F.explode("on_ice").alias("player_id")).groupBy("file", "team", "player_id").agg(F.sum("w").alias("plus_minus"))
+
+
+def plus_minus_of(rows: DataFrame) -> DataFrame:
+    """The same without lists: what goals come to by the end of each of a skater's shifts, less what they had come to at its start.
+    Skaters who were on for no goal have no row."""
+    g = scores(rows).select("file", "team", F.lit(None).cast(rows.schema["player_id"].dataType).alias("player_id"), F.col("probe_s").alias("t"), F.lit(0).alias("sign"), worth().alias("w"))
+    mark = lambda c, sign: F.struct(F.col(c).alias("t"), F.lit(sign).alias("sign"))
+    m = skaters(rows).select("file", "team", "player_id", F.explode(F.array(mark("start_s", -1), mark("end_s", 1))).alias("m")).select("file", "team", "player_id", "m.*", F.lit(None).cast("int").alias("w"))
+    order = Window.partitionBy("file", "team").orderBy("t", F.col("w").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = g.unionByName(m).select("*", F.coalesce(F.sum("w").over(order), F.lit(0)).alias("sum"), F.count("w").over(order).alias("n")).filter("sign <> 0")
+    return run.groupBy("file", "team", "player_id").agg(F.sum(F.col("sign") * F.col("sum")).alias("plus_minus"), F.sum(F.col("sign") * F.col("n")).alias("n")).filter("n > 0").drop("n")
 
 
 def attempts(rows: DataFrame) -> DataFrame:
@@ -144,7 +174,7 @@ def box(rows: DataFrame) -> DataFrame:
     on = I.point_in_interval(attempts(rows), own.select("file", "team", "player_id", "start_s", "end_s"), ["file", "team"], "clock_s", "start_s", "end_s", width=60, closed="right")
     corsi = on.groupBy(*by).agg(F.count_if("mine").alias("corsi_for"), F.count_if(~F.col("mine")).alias("corsi_against"))
     n = own.groupBy(*by).agg(F.count("*").alias("shifts"))
-    out = counts.join(tallies, by, "left").join(n, by, "left").join(corsi, by, "left").join(plus_minus(goals(rows)), by, "left")
+    out = counts.join(tallies, by, "left").join(n, by, "left").join(corsi, by, "left").join(plus_minus_of(rows), by, "left")
     return out.na.fill(0)
 
 

@@ -63,8 +63,8 @@ def man_advantages(spark, sf_dir):
 @query(f", {GOALS} SELECT gl.game, gl.team, gl.row_no, round(gl.t, 3) AS clock_s, gl.scored, gl.strength, CAST(score_for AS BIGINT) AS score_for, CAST(score_against AS BIGINT) AS score_against, (SELECT CAST(count(DISTINCT who) AS INTEGER) FROM gon WHERE gon.game = gl.game AND gon.team = gl.team AND gon.row_no = gl.row_no) AS skaters FROM gl")
 def goal_strengths(spark, sf_dir):
     """Every goal from both sides: running score, strength and how many skaters were on."""
-    g = G.goals(rebuilt(spark, sf_dir))
-    return g.select(F.col("file").alias("game"), "team", "row_no", F.round("clock_s", 3).alias("clock_s"), "scored", "strength", "score_for", "score_against", F.size("on_ice").alias("skaters"))
+    g = G.skater_counts(rebuilt(spark, sf_dir))
+    return g.select(F.col("file").alias("game"), "team", "row_no", F.round("clock_s", 3).alias("clock_s"), "scored", "strength", "score_for", "score_against", F.col("skaters").cast("int").alias("skaters"))
 
 
 PM = "pm AS (SELECT game, team, who AS player, sum(CASE WHEN scored AND strength <> 'PowerPlay' THEN 1 WHEN NOT scored AND strength <> 'ShortHanded' THEN -1 ELSE 0 END) AS plus_minus FROM (SELECT DISTINCT game, team, row_no, scored, strength, who FROM gon) GROUP BY ALL)"
@@ -73,7 +73,7 @@ PM = "pm AS (SELECT game, team, who AS player, sum(CASE WHEN scored AND strength
 @query(f", {GOALS}, {PM} SELECT game, team, player, CAST(plus_minus AS BIGINT) AS plus_minus FROM pm")
 def plus_minus_rules(spark, sf_dir):
     """Plus-minus without own power-play goals and goals against while short-handed."""
-    return G.plus_minus(G.goals(rebuilt(spark, sf_dir))).select(F.col("file").alias("game"), "team", F.col("player_id").alias("player"), "plus_minus")
+    return G.plus_minus_of(rebuilt(spark, sf_dir)).select(F.col("file").alias("game"), "team", F.col("player_id").alias("player"), "plus_minus")
 
 
 def _n(action: str) -> str:

@@ -2,10 +2,11 @@
 
 import random
 
-from pyspark.sql import functions as F
-
 from stintlake import registry
+from stintlake.operators import intervals as I
 from stintlake.operators import joins as J
+from stintlake.plans import game as G
+from stintlake.plans.rink_game import rebuilt
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +28,19 @@ def test_receivers_are_found_without_pairs(spark):
     assert got == {r[0]: brute(*r) for r in rows} and None in got.values()
     for name in ("pass_receivers", "pass_matrix"):
         assert "Join" not in plan(registry.QUERIES[name](spark, SF))
+
+
+def test_goals_are_counted_without_lists(spark):
+    rng = random.Random(6)
+    points = [(i % 3, i, rng.randrange(40) / 2) for i in range(60)]
+    spans = [(rng.randrange(3), a, a + rng.randrange(-1, 9)) for a in (rng.randrange(20) / 1.0 for _ in range(50))]
+    held = I.holding(spark.createDataFrame(points, "k int, id int, at double"), spark.createDataFrame(spans, "k int, s double, e double"), ["k"], "at", "s", "e")
+    assert {r["id"]: r["holding"] for r in held.collect()} == {i: sum(k == g and s < t <= e for g, s, e in spans) for k, i, t in points}
+    rows = rebuilt(spark, SF)
+    listed = G.goals(rows)
+    counts = {(r["team"], r["row_no"]): r["skaters"] for r in G.skater_counts(rows).collect()}
+    assert counts == {(r["team"], r["row_no"]): len(r["on_ice"]) for r in listed.collect()}
+    key = lambda df: sorted(map(tuple, df.select("file", "team", "player_id", "plus_minus").collect()))
+    assert key(G.plus_minus_of(rows)) == key(G.plus_minus(listed))
+    for name in ("goal_strengths", "plus_minus_rules"):
+        assert "collect_set" not in plan(registry.QUERIES[name](spark, SF))
