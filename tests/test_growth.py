@@ -1,10 +1,12 @@
 """Queries whose intermediate rows must not grow faster than their input: against plain loops, and by their plans."""
 
 import random
+import tracemalloc
 
 from stintlake import registry
 from stintlake.operators import intervals as I
 from stintlake.operators import joins as J
+from stintlake.plans import fits
 from stintlake.plans import game as G
 from stintlake.plans.rink_game import rebuilt
 
@@ -44,3 +46,13 @@ def test_goals_are_counted_without_lists(spark):
     assert key(G.plus_minus_of(rows)) == key(G.plus_minus(listed))
     for name in ("goal_strengths", "plus_minus_rules"):
         assert "collect_set" not in plan(registry.QUERIES[name](spark, SF))
+
+
+def test_defence_of_a_large_side_stays_small():
+    rng, players = random.Random(7), [f"p{i}" for i in range(3000)]
+    stretches = [(tuple(rng.sample(players[:9], 5)), rng.random()) for _ in range(50)]
+    tracemalloc.start()
+    found = fits.choose_defence(players, {}, set(), set(), stretches)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert fits.FEWEST <= len(found) <= fits.MOST and most < 30_000_000  # changes as rows of a matrix took over 300 MB
