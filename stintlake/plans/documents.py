@@ -213,10 +213,11 @@ GRID = "SELECT l_orderkey AS k, l_linenumber AS i, l_quantity AS value, ((l_orde
 e AS (SELECT *, row_number() OVER (PARTITION BY k, upper AND j IN (2, 3) ORDER BY y, j) AS high FROM d)
 SELECT k, CASE WHEN upper AND j IN (2, 3) THEN CASE WHEN high = 1 THEN 'Slot' ELSE 'Center' END WHEN upper THEN CASE WHEN j = 1 THEN 'LeftFlank' ELSE 'RightFlank' END ELSE ['BlueLineLeft', 'BlueLineCenter', 'BlueLineRight'][j] END AS area, value FROM e""")
 def zone_diagrams(spark, sf_dir):
-    """Diagrams of seven counts put on the zones of the rink."""
+    """Diagrams of seven counts put on the zones of the rink. Lines with the same numbers and part lie at one place: they count in the order
+    of the table, which the SQL leaves open."""
     k, i = F.col("l_orderkey"), F.col("l_linenumber")
-    c = table(spark, sf_dir, "lineitem").select(k.alias("k"), F.col("l_quantity").alias("value"), (((k + i * 3) % 5) * 10 + i + F.col("l_partkey") / 1e6).alias("x"), (((k * 3 + i * 7) % 11) * 10 + i + F.col("l_partkey") / 1e6).alias("y"))
-    return L.grid(c, ["k"], "zone")
+    c = table(spark, sf_dir, "lineitem").select(k.alias("k"), F.col("l_quantity").alias("value"), (((k + i * 3) % 5) * 10 + i + F.col("l_partkey") / 1e6).alias("x"), (((k * 3 + i * 7) % 11) * 10 + i + F.col("l_partkey") / 1e6).alias("y"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    return L.grid(c, ["k"], "zone", ("file", "place"))
 
 
 @query("""WITH c AS (SELECT p_partkey // 9 AS k, p_size AS value, p_partkey % 9 AS i, count(*) OVER (PARTITION BY p_partkey // 9) AS n FROM part) SELECT k, ['TopLeft', 'Top', 'TopRight', 'MiddleLeft', 'Middle', 'MiddleRight', 'BottomLeft', 'Bottom', 'BottomRight'][i + 1] AS area, value FROM c WHERE n = 9""")

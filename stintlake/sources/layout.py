@@ -157,20 +157,20 @@ def cover(lines: DataFrame, page: list[str]) -> DataFrame:
     return teams.join(days, page).select(*page, "team_a", goals[0].cast("int").alias("goals_a"), goals[1].cast("int").alias("goals_b"), "team_b", "day")
 
 
-def grid(counts: DataFrame, keys: list[str], kind: str) -> DataFrame:
+def grid(counts: DataFrame, keys: list[str], kind: str, ties: tuple[str, ...] = ()) -> DataFrame:
     """``keys, area, value`` of a diagram's printed counts (x, y, value): nine of a net by rows, or seven of a rink's zones, of which the
     three lowest are the blue line, the outermost of the others the flanks, and the higher of the middle two the slot. Diagrams
-    with another number of counts give no rows."""
+    with another number of counts give no rows. Of counts at one place that comes first which is first by ``ties``."""
     n = F.count("*").over(Window.partitionBy(*keys))
-    down = F.row_number().over(Window.partitionBy(*keys).orderBy("y", "x"))
+    down = F.row_number().over(Window.partitionBy(*keys).orderBy("y", "x", *ties))
     c = counts.withColumn("n", n).withColumn("down", down)
     if kind == "net":
         c = c.filter("n = 9").withColumn("row", F.floor((F.col("down") - 1) / 3).cast("int"))
-        across = F.row_number().over(Window.partitionBy(*keys, "row").orderBy("x"))
+        across = F.row_number().over(Window.partitionBy(*keys, "row").orderBy("x", "down"))
         names = F.array(*[F.lit(f"{v}{h}") for v in ("Top", "Middle", "Bottom") for h in ("Left", "", "Right")])
         return c.withColumn("i", across).select(*keys, F.get(names, F.col("row") * 3 + F.col("i") - 1).alias("area"), "value")
     c = c.filter("n = 7").withColumn("upper", F.col("down") <= 4)
-    c = c.withColumn("i", F.row_number().over(Window.partitionBy(*keys, "upper").orderBy("x")))
+    c = c.withColumn("i", F.row_number().over(Window.partitionBy(*keys, "upper").orderBy("x", "down")))
     middle = F.col("upper") & F.col("i").isin(2, 3)
     high = F.row_number().over(Window.partitionBy(*keys, middle).orderBy("y", "i"))
     area = (

@@ -9,6 +9,7 @@ from stintlake.operators import joins as J
 from stintlake.plans import fits
 from stintlake.plans import game as G
 from stintlake.plans.rink_game import rebuilt
+from stintlake.sources import layout as L
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +57,12 @@ def test_defence_of_a_large_side_stays_small():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert fits.FEWEST <= len(found) <= fits.MOST and most < 30_000_000  # changes as rows of a matrix took over 300 MB
+
+
+def test_counts_at_one_place_keep_the_order_of_the_table(spark):
+    # two counts at one place of the blue line: whichever file order they come in, the first is on the left
+    places = [(i, 10.0 * i, 10.0 + i % 2) for i in range(4)] + [(4, 5.0, 90.0), (5, 5.0, 90.0), (6, 30.0, 90.0)]
+    for back in (False, True):
+        df = spark.createDataFrame([(1, float(i), x, y, -i if back else i) for i, x, y in places], "k int, value double, x double, y double, place int").repartition(3)
+        found = {r["area"]: r["value"] for r in L.grid(df, ["k"], "zone", ("place",)).collect()}
+        assert (found["BlueLineLeft"], found["BlueLineCenter"]) == ((5.0, 4.0) if back else (4.0, 5.0))
