@@ -3,10 +3,13 @@
 import random
 import tracemalloc
 
+import numpy as np
+
 from stintlake import registry
+from stintlake.functions import special as S
 from stintlake.operators import intervals as I
 from stintlake.operators import joins as J
-from stintlake.plans import fits
+from stintlake.plans import fits, significance
 from stintlake.plans import game as G
 from stintlake.plans.rink_game import rebuilt
 from stintlake.sources import layout as L
@@ -66,3 +69,38 @@ def test_counts_at_one_place_keep_the_order_of_the_table(spark):
         df = spark.createDataFrame([(1, float(i), x, y, -i if back else i) for i, x, y in places], "k int, value double, x double, y double, place int").repartition(3)
         found = {r["area"]: r["value"] for r in L.grid(df, ["k"], "zone", ("place",)).collect()}
         assert (found["BlueLineLeft"], found["BlueLineCenter"]) == ((5.0, 4.0) if back else (4.0, 5.0))
+
+
+def test_pairs_are_added_up_in_blocks(spark):
+    rng = random.Random(8)
+    at = {(t, g, p): (rng.randrange(5), rng.randrange(5)) for t in (0, 1) for g in range(6) for p in (1, 2, 3)}
+    played = [(w, w % 2, g, p, *at[w % 2, g, p]) for w in range(22) for g in range(6) for p in (1, 2, 3) if rng.random() < 0.5]
+    df = spark.createDataFrame(played, "player long, team long, game long, period int, f long, g long").repartition(3)
+    want = {}
+    for a in range(22):
+        for b in range(a + 2, 22, 2):
+            sums, shares = [0, 0], []
+            for g in range(6):
+                x, y = ({r[3]: r[4:] for r in played if r[0] == w and r[2] == g} for w in (a, b))
+                if not x.keys() & y.keys():
+                    continue
+                t = [sum(x[p][i] for p in x.keys() & y.keys()) for i in (0, 1)]
+                o = [sum(v[p][i] for v in (x, y) for p in v) - 2 * t[i] for i in (0, 1)]
+                sums = [s + v for s, v in zip(sums, t)]
+                shares += [100 * t[0] / sum(t) - 100 * o[0] / sum(o)] if sum(t) >= 2 and sum(o) > 0 else []
+                want[a, b] = (*sums, len(shares), round(sum(shares) / len(shares), 9) if shares else 0.0)
+    for block in (4, 512):
+        got = {(r["a"], r["b"]): (r["f"], r["g"], r["n"], round(r["mean"], 9)) for r in significance.pair_sums(df, block).collect()}
+        assert got == want
+    assert "Join" not in plan(significance.pair_sums(df))
+
+
+def test_array_functions_equal_plain_ones():
+    rng = np.random.default_rng(9)
+    n = rng.integers(1, 2000, 500)
+    p, t = rng.random(500) * 0.98 + 0.01, rng.standard_normal(500) * 3
+    k = np.clip(rng.binomial(n, p) + rng.integers(-3, 4, 500), 0, n)
+    with np.errstate(all="raise", under="ignore"):
+        assert np.allclose(S.binomial_two_sideds(k, n, p), [S.binomial_two_sided(int(a), int(b), c) for a, b, c in zip(k, n, p)], rtol=0, atol=1e-9)
+        assert np.allclose(S.binomial_two_sideds(k, n, np.full(500, 0.5)), [S.binomial_two_sided(int(a), int(b), 0.5) for a, b in zip(k, n)], rtol=0, atol=1e-9)
+        assert np.allclose(S.t_two_sideds(t, n.astype(float)), [S.t_two_sided(a, float(b)) for a, b in zip(t, n)], rtol=0, atol=1e-11)
