@@ -6,6 +6,7 @@ import tracemalloc
 import numpy as np
 
 from stintlake import registry
+from stintlake.functions import sparse_fit, stint_model
 from stintlake.functions import special as S
 from stintlake.operators import intervals as I
 from stintlake.operators import joins as J
@@ -13,6 +14,7 @@ from stintlake.plans import fits, significance
 from stintlake.plans import game as G
 from stintlake.plans.rink_game import rebuilt
 from stintlake.sources import layout as L
+from tests.test_stint_model import dense
 
 SF = "/root/testdata/sf0.001"
 
@@ -104,3 +106,23 @@ def test_array_functions_equal_plain_ones():
         assert np.allclose(S.binomial_two_sideds(k, n, p), [S.binomial_two_sided(int(a), int(b), c) for a, b, c in zip(k, n, p)], rtol=0, atol=1e-9)
         assert np.allclose(S.binomial_two_sideds(k, n, np.full(500, 0.5)), [S.binomial_two_sided(int(a), int(b), 0.5) for a, b in zip(k, n)], rtol=0, atol=1e-9)
         assert np.allclose(S.t_two_sideds(t, n.astype(float)), [S.t_two_sided(a, float(b)) for a, b in zip(t, n)], rtol=0, atol=1e-11)
+
+
+def test_players_always_together_are_one_term(spark):
+    rng = np.random.default_rng(10)
+    base = [(i % 4, sorted(rng.choice(6, rng.integers(1, 4), replace=False).tolist()), float(rng.poisson(3)), float(rng.poisson(2)), float(rng.random() + 0.1)) for i in range(120)]
+    rows = [(g, [f"p{p}" for p in m] + [f"q{p}" for p in m if p < 3] + [f"r{p}" for p in m if p == 1], *v) for g, m, *v in base]
+    df = spark.createDataFrame(rows, "game int, members array<string>, y_for double, y_against double, hours double").repartition(3)
+    assert sparse_fit.sizes(sparse_fit.numbered_rows(df, merged=True)[1]).tolist() == [2, 3, 2, 1, 1, 1]
+    got = {(r["side"], r["term"]): r for r in stint_model.impact(df).collect()}
+    names = sorted({m for r in rows for m in r[1]})
+    x = np.array([[1.0, *(n in r[1] for n in names)] for r in rows])
+    for side, i in (("for", 2), ("against", 3)):
+        lam = got[side, "p0"]["penalty"]
+        beta, se = dense(x, np.array([r[i] for r in rows]), np.array([r[4] for r in rows]), lam)
+        assert np.allclose([(got[side, n]["estimate"], got[side, n]["se"]) for n in ["intercept", *names]], np.column_stack([beta, se]), atol=1e-6)
+    many = [(g, [f"{p}-{c}" for p in m for c in range(400)], *v) for g, m, *v in base]  # 2400 players: more than a dense rank takes
+    found = stint_model.interaction_test(spark.createDataFrame(many, df.schema)).first()
+    sets = {tuple(r[1]) for r in rows}
+    rank = np.linalg.matrix_rank(np.array([[1.0, *(n in s for n in names)] for s in sets]))
+    assert (found["df"], found["groups"]) == (2 * (len(sets) - rank), len(sets))
