@@ -126,3 +126,11 @@ def test_players_always_together_are_one_term(spark):
     sets = {tuple(r[1]) for r in rows}
     rank = np.linalg.matrix_rank(np.array([[1.0, *(n in s for n in names)] for s in sets]))
     assert (found["df"], found["groups"]) == (2 * (len(sets) - rank), len(sets))
+
+
+def test_graphs_of_some_hundred_thousand_links_go_to_the_tasks(spark, monkeypatch):
+    monkeypatch.setattr(fits.network, "betweenness", lambda *_: 1 / 0)  # the search by joins
+    edges = spark.range(250_000).selectExpr("id % 500 AS src", "id div 500 + 1000 AS dst", "1.0D AS w").unionByName(spark.createDataFrame([(1000, 5000, 1.0), (1001, 5000, 1.0)], "src long, dst long, w double"))
+    found = {r["node"]: r["centrality"] for r in fits.betweenness(edges).collect()}
+    assert len(found) == 1001 and {v for v, c in found.items() if c} == {1000, 1001}
+    assert abs(found[1000] - 500 * 0.5 / (1000 * 999)) < 1e-12
