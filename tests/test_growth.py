@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 
 from stintlake import registry
-from stintlake.functions import sparse_fit, stint_model
+from stintlake.functions import network, sparse_fit, stint_model
 from stintlake.functions import special as S
 from stintlake.operators import intervals as I
 from stintlake.operators import joins as J
@@ -134,3 +134,13 @@ def test_graphs_of_some_hundred_thousand_links_go_to_the_tasks(spark, monkeypatc
     found = {r["node"]: r["centrality"] for r in fits.betweenness(edges).collect()}
     assert len(found) == 1001 and {v for v, c in found.items() if c} == {1000, 1001}
     assert abs(found[1000] - 500 * 0.5 / (1000 * 999)) < 1e-12
+
+
+def test_graph_measures_send_ranks_to_links(spark, monkeypatch):
+    edges = spark.createDataFrame([(a, (a * s + 1) % 30, 1.0 + a % 3) for a in range(30) for s in (1, 7)], "src long, dst long, w double")
+    sent = []
+    monkeypatch.setattr(network, "_sent", lambda df, rows: sent.append(rows) or df, raising=False)
+    by_key = {r["node"]: r["rank"] for r in network.pagerank(edges).collect()}
+    assert set(sent) == {30}
+    monkeypatch.undo()
+    assert all(abs(r["rank"] - by_key[r["node"]]) < 1e-12 for r in network.pagerank(edges).collect())
