@@ -144,3 +144,15 @@ def test_graph_measures_send_ranks_to_links(spark, monkeypatch):
     assert set(sent) == {30}
     monkeypatch.undo()
     assert all(abs(r["rank"] - by_key[r["node"]]) < 1e-12 for r in network.pagerank(edges).collect())
+
+
+def test_a_half_round_of_moves_deals_no_links(spark, monkeypatch):
+    edges = spark.createDataFrame([(a, (a * s + 1) % 30, 1.0 + a % 3) for a in range(30) for s in (1, 7)], "src long, dst long, w double")
+    plans, write = [], network.written
+    monkeypatch.setattr(network, "written", lambda df, name: (name == "where" and plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        network._moved(edges.union(edges.select("dst", "src", "w")), 1)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) > 1 and all(p.count("Exchange hashpartitioning") <= 5 for p in plans[1:])  # of the sizes, and of the kept links
